@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import leak, markup, mix, split, terms, topn
-from quern.session import load
+from quern.llm import boilerplate, leak, markup, match, mix, split, terms, topn
+from quern.session import cut, load
 
 
 def p1_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,16 +24,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = terms.cut(terms.postings(load(spark, sf_dir, "term_index")))
+    rows = cut(terms.postings(load(spark, sf_dir, "term_index")))
     return terms.distinctive_terms(rows, 3, "tf").select("doc_id", "term")
 
 
 def p3_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most distinctive terms of each recipe's method by graph-of-words degree."""
-    rows = terms.cut(terms.graph_degrees(load(spark, sf_dir, "recipes"), "url", "method"))
+    rows = cut(terms.graph_degrees(load(spark, sf_dir, "recipes"), "url", "method"))
     return terms.distinctive_terms(rows, 3, "degree").withColumnRenamed("doc_id", "url")
 
 
+def p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.mark_lines(load(spark, sf_dir, "raw_pages"), load(spark, sf_dir, "recipes"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_lines(spark, sf_dir).where("boilerplate").select("field", "url", "line_no")
+
+
 def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.term_frequencies(load(spark, sf_dir, "term_index"))
 
@@ -42,6 +50,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_terms(spark, sf_dir).where("mark IS NOT NULL").select("term", "mark")
 
 
+def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes with their page: a row for each url and page, whichever tables name it, first."""
+    recipes = load(spark, sf_dir, "recipes").where("url IS NOT NULL")
+    left = recipes.groupBy("url").agg(F.max("title").alias("title"), F.max("ingredients").alias("foods"), F.max("description").alias("text")).withColumnRenamed("url", "id")
+    dump = load(spark, sf_dir, "dump_index").select("page_id", "wiki_title", "wiki_ingredients", "wiki_origin")
+    other = load(spark, sf_dir, "wiki_recipes").select("page_id", "wiki_title").distinct()
+    pages = dump.unionByName(other, allowMissingColumns=True).where("page_id IS NOT NULL")
+    right = pages.groupBy("page_id").agg(F.max("wiki_title").alias("title"), F.max("wiki_ingredients").alias("foods"), F.max("wiki_origin").alias("text"))
+    right = right.select(F.col("page_id").cast("string").alias("id"), "title", "foods", "text")
+    found = match.match(cut(left), cut(right))
+    return found.select(F.col("left_id").alias("url"), F.col("right_id").cast("long").alias("page_id"), F.round("confidence", 6).alias("confidence"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_matches(spark, sf_dir).select("url", "page_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_per_group(load(spark, sf_dir, "wiki_recipes"), ["recipe_url"], "page_id", "match_score", 3).select("recipe_url", "page_id")
 
