@@ -5,7 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.operators import units
+from quern.session import load
+
+
+def p2_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.convert_quantities(load(spark, sf_dir, "recipes"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_quantities(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for k, v in globals().items() if k.startswith("p2_")}
