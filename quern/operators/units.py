@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from quern.session import cut
 
@@ -273,7 +274,7 @@ def decode_units(rows: DataFrame, device: str, order: list[str], block: int = BL
                 n += 1
             yield b.assign(_chunk=np.array(ids, dtype="int64"), _at=np.array(at, dtype="int64"))
 
-    schema = keyed.schema.add("_chunk", "long").add("_at", "long")
+    schema = StructType([*rows.schema.fields, StructField("_chunk", LongType()), StructField("_at", LongType())])
     placed = cut(keyed.mapInPandas(number_blocks, schema).withColumn("_part", F.spark_partition_id()))
     placed = placed.withColumn("_block", F.concat_ws("-", F.format_string("%08d", "_part"), F.format_string("%012d", "_chunk")))
 
@@ -304,7 +305,7 @@ def decode_units(rows: DataFrame, device: str, order: list[str], block: int = BL
         out["unit_state"] = [STATES[s][0] for s in path]
         return out
 
-    out = rows.schema.add("minutes", "double").add("unit_state", "string")
+    out = StructType([*rows.schema.fields, StructField("minutes", DoubleType()), StructField("unit_state", StringType())])
     return placed.join(states, "_block").groupBy("_block").applyInPandas(finish, out)
 
 
