@@ -144,7 +144,7 @@ def markdown(page: str | None) -> str | None:
     p = ToMarkdown()
     p.feed(page)
     p.close()
-    text = re.sub(r" *\n *", "\n", "".join(p.out))
+    text = re.sub(r" *\n *", "\n", re.sub(r" {2,}", " ", "".join(p.out)))
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 

@@ -123,6 +123,10 @@ def _matches(c: Clause) -> Column:
     return t.isin(*c.words)
 
 
+def _shift(positions: str, by: int) -> Column:
+    return F.transform(F.col(positions), lambda p: p - by)
+
+
 def field_search(postings: DataFrame, docs: DataFrame, query: str, k: int = FIELD_TOP_K, fields: list[str] | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
     """(rank, score, total_hits, doc_id and the columns of ``docs``): the ``k`` best documents for a query in the language of ``parse_query``.
 
@@ -144,7 +148,7 @@ def field_search(postings: DataFrame, docs: DataFrame, query: str, k: int = FIEL
         rows = rows.join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # a row for each field
         rows = rows.withColumn("_s", F.lit(c.boost) * boost * bm25(F.col("tf"), F.col("df"), F.col("length"), F.col("docs"), F.col("avg_length")))
         if c.kind == "phrase":
-            starts = [F.transform(F.col("positions"), lambda p, d=d: p - d) for d in range(len(c.words))]
+            starts = [_shift("positions", d) for d in range(len(c.words))]
             shifted = F.lit(None).cast("array<int>")
             for w in dict.fromkeys(c.words):
                 places = [starts[d] for d, x in enumerate(c.words) if x == w]

@@ -39,23 +39,26 @@ def read_html_dir(spark: SparkSession, path: str, partitions: int | None = None)
     if partitions:
         files = files.repartition(partitions)
     name = F.element_at(F.split(slashes("path"), "/"), -1)
-    return files.select(file_to_url(F.try_url_decode(name)).alias("url"), F.regexp_replace("path", "^file:/+", "/").alias("html_file"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    return files.select(file_to_url(F.try_url_decode(name)).alias("url"), F.regexp_replace("path", "^file:/+", "/").alias("html_file"), F.decode("content", "UTF-8").alias("html"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = RECIPE) -> DataFrame:
     """JSON lines with a schema that is given, so no pass infers it; blank and broken lines are left out."""
     need(spark, path)
-    bad = "_bad_line"
-    rows = spark.read.schema(f"{schema}, {bad} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
-    return rows.where(F.col(bad).isNull()).drop(bad)
+    row = _parsed(spark, path, schema)
+    return row.where("_r._bad_line IS NULL").select("_r.*").drop("_bad_line")
+
+
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(value, _r): the lines that aren't blank, parsed; ``_r._bad_line`` is a line that doesn't parse."""
+    parse = F.from_json("value", f"{schema}, _bad_line string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad_line"})
+    return spark.read.text(path).where(F.trim("value") != "").select("value", parse.alias("_r"))
 
 
 def broken_lines(spark: SparkSession, path: str, schema: str = RECIPE) -> DataFrame:
     """The lines that ``read_jsonl`` leaves out (``line``), without blank ones."""
     need(spark, path)
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    bad = F.from_json("value", f"{schema}, _bad_line string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad_line"})
-    return lines.where(bad["_bad_line"].isNotNull()).select(F.col("value").alias("line"))
+    return _parsed(spark, path, schema).where("_r._bad_line IS NOT NULL").select(F.col("value").alias("line"))
 
 
 def infer_jsonl(spark: SparkSession, path: str) -> DataFrame:
