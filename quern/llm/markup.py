@@ -144,7 +144,7 @@ def render_tree(node: Node, layout: Layout, lists: tuple = ()) -> None:
             inner = Layout()
             render_tree(child, inner, lists or ("ul",))
             if body := inner.result().strip():
-                layout.text("  " * max(0, len(lists) - 1) + mark + body.replace("\n", "\n" + "  " * max(1, len(lists))), raw=True)
+                layout.text(mark + body.replace("\n", "\n  "), raw=True)
             layout.gap(1)
         elif re.fullmatch("h[1-6]", tag):
             layout.gap(2)
@@ -269,7 +269,7 @@ TEX = [
     (re.compile(r"\\(?:sub)*section\*?\{([^{}]*)\}[ \t]*\n?"), r"\n\n## \1\n\n"),
     (re.compile(r"\\(?:chapter|title)\*?\{([^{}]*)\}[ \t]*\n?"), r"\n\n# \1\n\n"),
     (re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]]*\])?[ \t]*\n?"), "\n"),
-    (re.compile(r"[ \t]*\\item(?:\[([^\]]*)\])?[ \t]*"), "\n- "),
+    (re.compile(r"\n?[ \t]*\\item(?:\[([^\]]*)\])?[ \t]*"), "\n- "),
     (re.compile(r"\\(?:emph|textbf|textit|texttt|underline|textsc|textrm|text|mbox)\{([^{}]*)\}"), r"\1"),
     (re.compile(r"\\(?:label|ref|cite|index|footnote|vspace|hspace)\*?\{[^{}]*\}"), ""),
     (re.compile(r"[ \t]*\\\\(?:\[[^\]]*\])?[ \t]*\n?"), "\n"),
