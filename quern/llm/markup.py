@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts without any of these hold no markup; only texts that match are rendered.
-SUSPECT = r"[<&*_~`\\$\[{|]|(?m)^\s{0,3}(?:[-+>] |#{1,6} |=+[^=])|(?m)^\s*(?:-{3,}|={3,})\s*$|''"
+SUSPECT = r"[<&*_~`\\$\[{|]|(?m)^\s{0,3}(?:[-+] |>|#{1,6}\s|=+[^=])|(?m)^\s*(?:-{3,}|={3,})\s*$|''"
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "head", "template", "noscript", "iframe", "object", "svg"}
