@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import spread
+
 MIN_WORDS = 10
 MAX_WORDS = 2_000_000  # words of items in one automaton (about 1 GB in a worker); more items go into further automata
 WORD = re.compile(r"[^\W_]+")
@@ -181,6 +183,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> Dat
     and no document waits for another; only found pairs are grouped.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = spread(rows, "doc_id")
     found = None
     for a in automata(items, least):
         part = _scan(rows, a)

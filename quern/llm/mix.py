@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.tokens import token_count
-from quern.session import cut
+from quern.session import cut, spread
 
 BINS = 4096  # bins of the sampling order of a source; only the bin in which the budget ends is sorted
 
@@ -25,7 +25,7 @@ def sized_texts(docs: DataFrame, tokenizer: str | None = None, weight: str | Non
     """
     t = F.col("text")
     w = quality(t) if weight is None else F.when(F.col(weight) > 0, F.when(F.isnan(F.col(weight).cast("double")), F.lit(0.05)).otherwise(F.col(weight).cast("double"))).otherwise(F.lit(0.05))
-    rows = docs.where(t.isNotNull()).select("source", F.md5(t.cast("binary")).alias("key"), "doc_id", w.alias("weight"), token_count("text", tokenizer).alias("tokens"))
+    rows = spread(docs.where(t.isNotNull()), "doc_id").select("source", F.md5(t.cast("binary")).alias("key"), "doc_id", w.alias("weight"), token_count("text", tokenizer).alias("tokens"))
     return rows.groupBy("source", "key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("tokens").alias("tokens"), F.max("weight").alias("weight"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import tokens as tk
+from quern.session import spread
 
 #: Strengths of a cut before a unit: none within a character, then inside a word, between words, after a clause, sentence, line, paragraph.
 NEVER, INSIDE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = -1, 0, 1, 2, 3, 4, 5
@@ -147,7 +148,7 @@ def split_texts(docs: DataFrame, limit: int = 1500, overlap: int = 100, tokenize
     Texts within the limit come out as one piece; with ``long_only`` only longer ones come out. Null texts give no piece, empty
     ones one empty piece. Pieces joined at ``start`` give the text back exactly. Sizes are those of the tokenizer file; a text
     of at most ``limit`` bytes can't be over the limit (a token has a byte at least), so with ``long_only`` it isn't encoded.
-    Rows are cut where they lie: nothing is shuffled. Repeated rows give repeated pieces; other columns are ignored.
+    Rows are cut where they lie: nothing is shuffled (see ``spread``). Repeated rows give repeated pieces; other columns are ignored.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be less than half the limit")
@@ -168,4 +169,4 @@ def split_texts(docs: DataFrame, limit: int = 1500, overlap: int = 100, tokenize
             columns = list(zip(*out)) or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return spread(rows, "doc_id").mapInArrow(run, SCHEMA)
