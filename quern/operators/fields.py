@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,18 +47,27 @@ def term_scores(postings: DataFrame, terms: DataFrame, boosts: dict[str, float]
 
 @dataclass(frozen=True)
 class Clause:
-    """One part of a query: words (several: a phrase), a field or all, how it must occur, and how it is matched."""
+    """One part of a query: words (several: a phrase) or a group of clauses, a field or all, how it must occur, and how it is matched."""
 
     words: tuple[str, ...]
     field: str | None = None
     occur: str = "should"  # must, not
-    kind: str = "term"  # phrase, prefix, wildcard, fuzzy, range
+    kind: str = "term"  # phrase, wildcard, fuzzy, range, group
     boost: float = 1.0
     edits: int = 2
     high: str = ""
+    parts: tuple[Clause, ...] = ()
 
 
-LEXER = re.compile(r'\s*(?:(?P<op>AND|OR|NOT|&&|\|\|)(?=[\s(]|$)|(?P<sign>[+\-!])(?=\S)|(?:(?P<field>\w+):)?(?:"(?P<phrase>[^"]*)"|\[(?P<low>\S+)\s+TO\s+(?P<high>\S+)\]|(?P<word>[^\s()"^~:]+))(?P<fuzzy>~(?P<edits>[012])?)?(?:\^(?P<boost>\d+(?:\.\d+)?))?)')
+LEXER = re.compile(
+    r"""\s*(?:
+    (?P<op>AND|OR|NOT|&&|\|\|)(?=[\s(]|$)
+    |(?P<sign>[+\-!])(?=\S)
+    |(?P<close>\))(?:\^(?P<outer>\d+(?:\.\d+)?))?
+    |(?:(?P<field>\w+):)?(?:(?P<open>\()|"(?P<phrase>[^"]*)"|\[(?P<low>\S+)\s+TO\s+(?P<high>[^\s\]]+)\]|(?P<word>[^\s()"^~:]+))(?P<fuzzy>~(?P<edits>[012])?)?(?:\^(?P<boost>\d+(?:\.\d+)?))?
+    )""",
+    re.X,
+)
 
 
 class BadQuery(ValueError):
@@ -66,24 +75,23 @@ class BadQuery(ValueError):
 
 
 def parse_query(query: str) -> list[Clause]:
-    """Clauses of a query: words, "phrases", ``field:``, AND OR NOT + -, ``pre*``, ``w?ld*``, ``fuzzy~1``, ``[a TO b]``, ``^boost``.
+    """Clauses of a query: words, "phrases", ``field:``, AND OR NOT + -, ``pre*``, ``w?ld*``, ``fuzzy~1``, ``[a TO b]``, ``^boost``, groups.
 
-    Parentheses are read as grouping without effect, as all clauses stand side by side; words alone are joined by OR.
+    Words side by side are joined by OR. A group in parentheses is a query of its own, with its field and boost for all in it.
     """
-    text = query.replace("(", " ").replace(")", " ")
-    out: list[Clause] = []
+    levels: list[tuple[list[Clause], dict]] = [([], {})]
     at, occur = 0, "should"
-    while text[at:].strip():
-        m = LEXER.match(text, at)
+    while query[at:].strip():
+        m = LEXER.match(query, at)
         if not m or m.end() == at:
-            raise BadQuery(f"at {text[at:].strip()[:20]!r}")
-        at = m.end()
+            raise BadQuery(f"at {query[at:].strip()[:20]!r}")
+        at, out = m.end(), levels[-1][0]
         if op := m["op"]:
             if op in ("AND", "&&"):
                 if not out:
                     raise BadQuery("nothing before AND")
                 if out[-1].occur == "should":
-                    out[-1] = Clause(**{**out[-1].__dict__, "occur": "must"})
+                    out[-1] = replace(out[-1], occur="must")
                 occur = "must"
             elif op == "NOT":
                 occur = "not"
@@ -91,23 +99,32 @@ def parse_query(query: str) -> list[Clause]:
         if sign := m["sign"]:
             occur = "must" if sign == "+" else "not"
             continue
-        base = {"field": m["field"], "occur": occur, "boost": float(m["boost"] or 1)}
+        if m["close"]:
+            if len(levels) == 1:
+                raise BadQuery("a parenthesis closes nothing")
+            parts, base = levels.pop()
+            if parts:
+                levels[-1][0].append(Clause((), kind="group", parts=tuple(parts), **{**base, "boost": float(m["outer"] or 1)}))
+            occur = "should"
+            continue
+        field = m["field"] or next((x["field"] for _, x in reversed(levels) if x.get("field")), None)
+        base = {"field": field, "occur": occur, "boost": float(m["boost"] or 1)}
         occur = "should"
-        if m["phrase"] is not None:
-            words = tuple(w for w in re.split(r"[\W_]+", m["phrase"].lower()) if w)
-            if words:
-                out.append(Clause(words, kind="phrase" if len(words) > 1 else "term", **base))
+        if m["open"]:
+            levels.append(([], base))
         elif m["low"]:
             out.append(Clause((m["low"].lower(),), kind="range", high=m["high"].lower(), **base))
-        elif m["fuzzy"]:
+        elif m["fuzzy"] and m["word"]:
             out.append(Clause((m["word"].lower(),), kind="fuzzy", edits=int(m["edits"] or 2), **base))
-        elif re.search(r"[*?]", m["word"]):
+        elif m["word"] and re.search(r"[*?]", m["word"]):
             out.append(Clause((m["word"].lower(),), kind="wildcard", **base))
         else:
-            words = tuple(w for w in re.split(r"[\W_]+", m["word"].lower()) if w)
+            words = tuple(w for w in re.split(r"[\W_]+", (m["word"] or m["phrase"]).lower()) if w)
             if words:
                 out.append(Clause(words, kind="phrase" if len(words) > 1 else "term", **base))
-    return out
+    if len(levels) > 1:
+        raise BadQuery("a parenthesis isn't closed")
+    return levels[0][0]
 
 
 def _matches(c: Clause) -> Column:
@@ -135,46 +152,64 @@ def field_search(postings: DataFrame, docs: DataFrame, query: str, k: int = FIEL
     Ties go to the lower doc_id. A query of excluded clauses only, and one without words, finds nothing; ``total_hits`` is exact.
     """
     boosts = FIELD_BOOSTS if boosts is None else boosts
-    fields = list(boosts) if fields is None else fields
     clauses = parse_query(query)
-    stats = field_stats(postings)
-    boost = F.lit(1.0)
-    for f, x in boosts.items():
-        boost = F.when(F.col("field") == f, F.lit(float(x))).otherwise(boost)
-    parts = []
-    for i, c in enumerate(clauses):
-        rows = postings.where(_matches(c) & (F.col("field") == c.field if c.field else F.col("field").isin(*fields)))
-        df = rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        rows = rows.join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # a row for each field
-        rows = rows.withColumn("_s", F.lit(c.boost) * boost * bm25(F.col("tf"), F.col("df"), F.col("length"), F.col("docs"), F.col("avg_length")))
-        if c.kind == "phrase":
-            starts = [_shift("positions", d) for d in range(len(c.words))]
-            shifted = F.lit(None).cast("array<int>")
-            for w in dict.fromkeys(c.words):
-                places = [starts[d] for d, x in enumerate(c.words) if x == w]
-                own = places[0]
-                for p in places[1:]:
-                    own = F.array_intersect(own, p)
-                shifted = F.when(F.col("term") == w, own).otherwise(shifted)
-            per = rows.withColumn("_p", shifted).groupBy("field", "doc_id").agg(F.sum("_s").alias("_s"), F.collect_list("_p").alias("_ps"))
-            common = F.aggregate(F.slice("_ps", 2, 1000), F.get("_ps", F.lit(0)), F.array_intersect)
-            rows = per.where((F.size("_ps") == len(set(c.words))) & (F.size(common) > 0))
-        parts.append(rows.select("doc_id", F.lit(i).alias("clause"), F.lit(c.occur).alias("occur"), (F.col("_s") if c.occur != "not" else F.lit(0.0)).alias("_s")))
-    must = sum(c.occur == "must" for c in clauses)
-    if not any(c.occur != "not" for c in clauses):
-        schema = docs.limit(0)
-        return schema.select(F.lit(0).alias("rank"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("total_hits"), "*")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    hits = hits.groupBy("doc_id").agg(F.sum("_s").alias("score"), F.count_distinct(F.when(F.col("occur") == "must", F.col("clause"))).alias("_m"), F.count_if(F.col("occur") == "not").alias("_x"))
-    hits = hits.where((F.col("_m") == must) & (F.col("_x") == 0) & (F.col("score") > 0)).select("doc_id", "score")
+    hits = _hits(postings, field_stats(postings), clauses, list(boosts) if fields is None else fields, boosts)
+    if hits is None:
+        return docs.limit(0).select(F.lit(0).alias("rank"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("total_hits"), "*")
     total = hits.agg(F.count(F.lit(1)).alias("total_hits")).withColumn("_one", F.lit(1))
     best = hits.orderBy(F.col("score").desc(), "doc_id").limit(k)
     ranked = best.withColumn("rank", F.row_number().over(_one_window("score", "doc_id"))).withColumn("_one", F.lit(1)).join(total, "_one")
     return ranked.join(docs, "doc_id").select("rank", "score", "total_hits", *docs.columns).orderBy("rank")
 
 
+def _hits(postings: DataFrame, stats: DataFrame, clauses: tuple[Clause, ...] | list[Clause], fields: list[str], boosts: dict[str, float]) -> DataFrame | None:
+    """(doc_id, score) of the documents that satisfy the clauses, or None where no document can."""
+    parts, must = [], 0
+    for i, c in enumerate(clauses):
+        if c.kind == "group":
+            rows = _hits(postings, stats, c.parts, fields, boosts)
+            rows = None if rows is None else rows.select("doc_id", (F.col("score") * c.boost).alias("_s"))
+        else:
+            rows = _leaf(postings, stats, c, fields, boosts)
+        if rows is None:
+            if c.occur == "must":
+                return None
+            continue
+        must += c.occur == "must"
+        parts.append(rows.select("doc_id", F.lit(i).alias("clause"), F.lit(c.occur).alias("occur"), (F.lit(0.0) if c.occur == "not" else F.col("_s")).alias("_s")))
+    if not any(c.occur != "not" for c in clauses) or not parts:
+        return None
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    rows = rows.groupBy("doc_id").agg(F.sum("_s").alias("score"), F.count_distinct(F.when(F.col("occur") == "must", F.col("clause"))).alias("_m"), F.count_if(F.col("occur") == "not").alias("_x"))
+    return rows.where((F.col("_m") == must) & (F.col("_x") == 0) & (F.col("score") > 0)).select("doc_id", "score")
+
+
+def _leaf(postings: DataFrame, stats: DataFrame, c: Clause, fields: list[str], boosts: dict[str, float]) -> DataFrame:
+    """(doc_id, _s) of a clause of words."""
+    boost = F.lit(1.0)
+    for f, x in boosts.items():
+        boost = F.when(F.col("field") == f, F.lit(float(x))).otherwise(boost)
+    rows = postings.where(_matches(c) & (F.col("field") == c.field if c.field else F.col("field").isin(*fields)))
+    df = rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    rows = rows.join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # a row for each field
+    rows = rows.withColumn("_s", F.lit(c.boost) * boost * bm25(F.col("tf"), F.col("df"), F.col("length"), F.col("docs"), F.col("avg_length")))
+    if c.kind == "phrase":
+        starts = [_shift("positions", d) for d in range(len(c.words))]
+        shifted = F.lit(None).cast("array<int>")
+        for w in dict.fromkeys(c.words):
+            places = [starts[d] for d, x in enumerate(c.words) if x == w]
+            own = places[0]
+            for p in places[1:]:
+                own = F.array_intersect(own, p)
+            shifted = F.when(F.col("term") == w, own).otherwise(shifted)
+        per = rows.withColumn("_p", shifted).groupBy("field", "doc_id").agg(F.sum("_s").alias("_s"), F.collect_list("_p").alias("_ps"))
+        common = F.aggregate(F.slice("_ps", 2, len(c.words)), F.get("_ps", F.lit(0)), F.array_intersect)
+        rows = per.where((F.size("_ps") == len(set(c.words))) & (F.size(common) > 0))
+    return rows.select("doc_id", "_s")
+
+
 def _one_window(score: str, tie: str):
     from pyspark.sql import Window
 

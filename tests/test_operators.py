@@ -187,7 +187,12 @@ def test_query_language():
     assert c[3].field == "title" and c[3].boost == 2.0
     with pytest.raises(fields.BadQuery):
         fields.parse_query("AND x")
-    assert fields.parse_query("") == []
+    assert fields.parse_query("") == [] and fields.parse_query("()") == []
+    g = fields.parse_query("+title:(a OR b)^2 c")[0]
+    assert g.kind == "group" and g.occur == "must" and g.boost == 2.0 and [(p.words, p.field) for p in g.parts] == [(("a",), "title"), (("b",), "title")]
+    for bad in ("(a", "a)"):
+        with pytest.raises(fields.BadQuery):
+            fields.parse_query(bad)
 
 
 def test_field_search(spark):
@@ -197,6 +202,7 @@ def test_field_search(spark):
     assert set(run("soup")) == {"1", "2"} and run("soup")[0] == "2"  # the shorter title
     assert run('"lemon juice"') == ["2"] and run("+soup -duck") == ["2"] and run("lem*")[0] == "3" and run("duk~1") == ["1"]
     assert run("title:lemon") == ["3"] and run("-soup") == [] and run("") == [] and run("[lemo TO lemz]", fields=["title"]) == ["3"]
+    assert set(run("+(duck lemon) +soup")) == {"1", "2"} and set(run("soup AND NOT (duck OR tart)")) == {"2"} and run("title:(lemon)") == ["3"] and run("+(-soup) duck") == []
     e = fields.search_envelope(p, docs, "soup", k=1, boosts={"title": 1.0})
     assert e["total_hits"] == 2 and len(e["results"]) == 1 and "error" in fields.search_envelope(p, docs, "AND x")
 
