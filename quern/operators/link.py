@@ -22,29 +22,30 @@ def similarity(distance: Column, a: Column, b: Column) -> Column:
 
 
 def exploded(df: DataFrame, key: str) -> DataFrame:
-    """(_k, _c, token) of a prepared frame; titles without tokens vanish."""
-    return df.select(F.col(key).alias("_k"), F.col("cleaned_title").alias("_c"), F.explode("filtered_tokens").alias("token")).where(F.col("token") != "")
+    """(_k, _c, _t, token) of a prepared frame: key, cleaned title, its tokens, and one of them; titles without tokens vanish."""
+    return df.select(F.col(key).alias("_k"), F.col("cleaned_title").alias("_c"), F.col("filtered_tokens").alias("_t"), F.explode("filtered_tokens").alias("token")).where(F.col("token") != "")
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """(left key, cleaned, right key, cleaned, token): a row for each token that two titles share.
+    """(left_id, left_title, left_tokens, token, right_id, right_title, right_tokens): a row for each token that two titles share.
 
     An equi-join on the token. Tokens that many titles have are split by adaptive execution on the side that is large there.
     """
-    a = exploded(left, left_key).select(F.col("_k").alias("left_id"), F.col("_c").alias("left_title"), "token")
-    b = exploded(right, right_key).select(F.col("_k").alias("right_id"), F.col("_c").alias("right_title"), "token")
+    a = exploded(left, left_key).select(F.col("_k").alias("left_id"), F.col("_c").alias("left_title"), F.col("_t").alias("left_tokens"), "token")
+    b = exploded(right, right_key).select(F.col("_k").alias("right_id"), F.col("_c").alias("right_title"), F.col("_t").alias("right_tokens"), "token")
     return a.join(b, "token")
 
 
 def scored_pairs(pairs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(left_id, right_id, similarity) of distinct pairs whose similarity is at least ``threshold``.
 
-    Lengths too different for the threshold are left out before the edit distance, whose bound stops it early; the comparison
-    itself stays in doubles.
+    A pair counts at the least of the tokens it shares, so candidates aren't shuffled to find repeated pairs. Lengths too
+    different for the threshold are left out before the edit distance, whose bound stops it early; the comparison itself stays
+    in doubles.
     """
     slack = 1 - threshold
     la, lb = F.length("left_title"), F.length("right_title")
-    near = pairs.where(F.abs(la - lb) <= F.lit(slack) * F.greatest(la, lb) + 1e-9).select("left_id", "right_id", "left_title", "right_title").distinct()
+    near = pairs.where(F.abs(la - lb) <= F.lit(slack) * F.greatest(la, lb) + 1e-9).where(F.col("token") == F.array_min(F.array_intersect("left_tokens", "right_tokens")))
     bound = F.floor(F.lit(slack) * F.greatest(la, lb) + 1e-9).cast("int")
     scored = near.withColumn("_d", F.call_function("levenshtein", F.col("left_title"), F.col("right_title"), bound)).where("_d >= 0")
     return scored.withColumn("similarity", similarity(F.col("_d"), F.col("left_title"), F.col("right_title"))).where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")

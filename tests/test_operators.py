@@ -78,6 +78,7 @@ def test_link(spark):
 
 def test_similarity_threshold_in_doubles(spark):
     pair = spark.createDataFrame([(1, 2, "a" * 20, "b" * 11 + "a" * 9)], "left_id int, right_id int, left_title string, right_title string")
+    pair = pair.withColumn("token", F.lit("t")).withColumn("left_tokens", F.array(F.lit("t"), F.lit("u"))).withColumn("right_tokens", F.array(F.lit("u"), F.lit("t")))
     assert link.scored_pairs(pair).count() == 0  # 1 - 11/20 is a little under 0.45
     assert link.scored_pairs(pair.withColumn("right_title", F.lit("b" * 10 + "a" * 10))).count() == 1
 
