@@ -87,6 +87,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, t
     mix = draw(texts, plan, seed)
     got = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("drawn"), F.max("uses").alias("most_uses"), F.count(F.lit(1)).alias("texts"))
     rows = plan.join(got.withColumnRenamed("source", "_s"), plan["source"].eqNullSafe(F.col("_s")), "left").drop("_s").na.fill(0, ["drawn", "most_uses", "texts"])
-    sums = Window.partitionBy(F.lit(0))  # one row per source
-    report = rows.select("source", "target_share", "max_uses", "size", "wanted", "drawn", "texts", "most_uses", "reached", (F.col("drawn") / F.nullif(F.sum("drawn").over(sums), F.lit(0))).alias("actual_share"), (F.col("drawn") / F.nullif(F.col("total"), F.lit(0))).alias("drawn_share"))
+    whole = got.agg(F.sum("drawn").alias("_all")).withColumn("_one", F.lit(1))
+    rows = rows.withColumn("_one", F.lit(1)).join(whole, "_one")
+    report = rows.select("source", "target_share", "max_uses", "size", "wanted", "drawn", "texts", "most_uses", "reached", (F.col("drawn") / F.nullif(F.col("_all"), F.lit(0))).alias("actual_share"), (F.col("drawn") / F.nullif(F.col("total"), F.lit(0))).alias("drawn_share"))
     return mix, report
