@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.markup import Node, TreeBuilder, visible
-from quern.llm.skew import salted_join
+from quern.llm.skew import hot_join
 from quern.session import cut
 
 LEAST_IMPORTANCE = 0.24  # of a branch that is kept
@@ -165,9 +165,9 @@ def kept_branches(leaves: DataFrame) -> DataFrame:
     Text straight under the body is in no branch.
     """
     sizes = leaves.groupBy("host").agg(F.count_distinct("url").alias("pages"))
-    spread = leaves.where("first").groupBy("host", "content").agg(F.count(F.lit(1)).alias("on"))
-    spread = spread.join(sizes, "host").select("host", "content", (1 - F.log(F.col("on").cast("double")) / F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))).alias("weight"))
-    rows = salted_join(leaves.where("branch >= 0"), spread, ["host", "content"], "url")
+    spread = cut(leaves.where("first").groupBy("host", "content").agg(F.count(F.lit(1)).alias("on")))
+    spread = hot_join(spread, sizes, ["host"], "inner").select("host", "content", (1 - F.log(F.col("on").cast("double")) / F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))).alias("weight"))
+    rows = hot_join(leaves.where("branch >= 0"), cut(spread), ["host", "content"])
     per_style = rows.groupBy("url", "branch", "style").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") * F.col("n_chars")).alias("w"), F.sum("n_chars").alias("c"))
     total = F.sum("n")
     entropy = F.log(total.cast("double")) - F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / total
@@ -181,9 +181,9 @@ def boilerplate_heads(leaves: DataFrame) -> DataFrame:
 
     The share of a host is steadied by that over all hosts; host null stands for all hosts together, for texts of other hosts.
     """
-    seen = leaves.groupBy("host", "head").agg(F.count_if(~F.col("inside")).alias("out"), F.count(F.lit(1)).alias("n"))
+    seen = cut(leaves.groupBy("host", "head").agg(F.count_if(~F.col("inside")).alias("out"), F.count(F.lit(1)).alias("n")))
     everywhere = seen.groupBy("head").agg(F.sum("out").alias("all_out"), (F.sum("out") / F.sum("n")).alias("share"))
-    rows = seen.join(everywhere, "head")
+    rows = hot_join(seen, everywhere, ["head"], "inner")
     own = rows.where(((F.col("out") + PRIOR * F.col("share")) / (F.col("n") + PRIOR) >= LEAST_OUTSIDE) & (F.col("all_out") >= 2)).select("host", "head")
     return own.unionByName(everywhere.where((F.col("share") >= LEAST_OUTSIDE) & (F.col("all_out") >= 2)).select(F.lit("").alias("host"), "head")).distinct()
 
@@ -201,16 +201,16 @@ def mark_lines(pages: DataFrame, texts_: DataFrame | None = None, url: str = "ur
     kept = kept_branches(leaves).withColumn("_kept", F.lit(True))
     placed = cut(leaves.join(kept, ["url", "branch"], "left").withColumn("inside", F.coalesce("_kept", F.lit(False))).drop("_kept"))
     heads = cut(boilerplate_heads(placed)).withColumn("_bad", F.lit(True))
-    lines = salted_join(placed, heads, ["host", "head"], "url")
+    lines = hot_join(placed, heads, ["host", "head"])
     out = lines.select(F.lit("html").alias("field"), "url", "line_no", (~F.col("inside") | (F.coalesce("_bad", F.lit(False)) & ~F.col("heading"))).alias("boilerplate"))
     if texts_ is None:
         return out
-    rows = text_leaves(texts_, url, text)
+    rows = cut(text_leaves(texts_, url, text))
     shown = placed.select("host", "head").distinct().withColumn("_shown", F.lit(True))
     own = shown.join(heads, ["host", "head"], "left")
-    rows = salted_join(rows, own, ["host", "head"], "url")
+    rows = cut(hot_join(rows, cut(own), ["host", "head"]))
     anywhere = heads.where("host = ''").select("head", F.col("_bad").alias("_any"))
-    rows = salted_join(rows, anywhere, ["head"], "url")
+    rows = hot_join(rows, anywhere, ["head"])
     bad = F.when(F.coalesce("_shown", F.lit(False)), F.coalesce("_bad", F.lit(False))).otherwise(F.coalesce("_any", F.lit(False)))
     return out.unionByName(rows.select(F.lit(text).alias("field"), "url", "line_no", bad.alias("boilerplate")))
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+from quern.session import cut
 
+MOST, LEAST = 10_000, 1_000  # a key is hot with more than one in MOST of all rows (and LEAST rows), so there are at most MOST hot keys
 
-def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, how: str = "left", salts: int = SALTS) -> DataFrame:
-    """``rows`` joined with ``facts`` (at most one row per key) on ``keys``, each key's rows spread over ``salts`` tasks by ``spread``.
 
-    The facts are repeated ``salts`` times, which is cheap where they are far fewer than the rows; Spark takes a broadcast
-    instead if it finds them small. Null keys find nothing; with ``left`` such rows stay.
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``rows`` joined with ``facts`` (at most one row per key) on ``keys``; ``rows`` should be a written table, it is read more than once.
+
+    Rows of hot keys meet their facts by broadcast, of at most ``MOST`` facts; the others meet them by a plain join, in which no
+    key has more than one in ``MOST`` of the rows. Null keys find nothing; with ``left`` such rows stay.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    many = facts.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
-    return rows.withColumn("_salt", salt).join(many, [*keys, "_salt"], how).drop("_salt")
+    limit = max(LEAST, rows.count() // MOST)
+    hot = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys))
+    known = F.broadcast(hot)
+    some = F.broadcast(facts.join(known, keys, "left_semi"))
+    return rows.join(known, keys, "left_semi").join(some, keys, how).unionByName(rows.join(known, keys, "left_anti").join(facts, keys, how))
