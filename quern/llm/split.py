@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +13,9 @@ from pyspark.sql import types as T
 from quern.functions import tokens as tk
 from quern.session import spread
 
-#: Strengths of a cut before a unit: none within a character, then inside a word, between words, after a clause, sentence, line, paragraph.
-NEVER, INSIDE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = -1, 0, 1, 2, 3, 4, 5
-SPACE, CLOSERS = re.compile(r"\s"), "\"'”’»)]"
+#: Strengths of a cut before a unit: inside a word, between words, after a clause, sentence, line, paragraph.
+INSIDE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = 0, 1, 2, 3, 4, 5
+CLOSERS = "\"'”’»)]"
 
 
 class Strongest:
