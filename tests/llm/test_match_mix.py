@@ -66,6 +66,14 @@ def test_match_edges(spark):
     assert {(r["left_id"], r["right_id"]) for r in match.match(some, some).collect()} <= {("3", "3"), ("4", "4")}
 
 
+def test_a_popular_name_is_a_name(spark):
+    dish = ["".join(x) for x in itertools.product(("ka", "lo", "mi", "tu", "ve", "zo"), repeat=3)]
+    right = [(str(k), d.title(), None, None) for k, d in enumerate(dish)]
+    left = [(f"r{k}", f"Easy {dish[0]}", ["2 eggs"], None) for k in range(100)] + [("one", f"Easy {dish[1]}", ["2 eggs"], None)]
+    got = {r["left_id"]: r["right_id"] for r in match.match(spark.createDataFrame(left, RECORD), spark.createDataFrame(right, RECORD)).collect()}
+    assert got == {**{f"r{k}": "0" for k in range(100)}, "one": "1"}
+
+
 def test_one_to_one_is_the_best_assignment(spark):
     rng = random.Random(7)
     for _ in range(3):
