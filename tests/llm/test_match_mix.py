@@ -74,6 +74,16 @@ def test_a_popular_name_is_a_name(spark):
     assert got == {**{f"r{k}": "0" for k in range(100)}, "one": "1"}
 
 
+@pytest.mark.parametrize("cell", [1000, 7])
+def test_namesakes_are_told_apart_by_place(spark, monkeypatch, cell):
+    monkeypatch.setattr(match, "CELL", cell)
+    place = ["".join(x) for x in itertools.product(("dor", "mar", "lin", "sul", "pen"), repeat=3)][:90]
+    right = [(str(k), "Kalomi", None, p.title()) for k, p in enumerate(place)] + [(str(1000 + k), "Soup with onion", None, p.title()) for k, p in enumerate(place)]
+    left = [(f"r{k}", f"Easy {p} kalomi", None, None) for k, p in enumerate(place)] + [(f"s{k}", f"{p.title()} soup with onion", None, None) for k, p in enumerate(place)]
+    got = {r["left_id"]: r["right_id"] for r in match.match(spark.createDataFrame(left, RECORD), spark.createDataFrame(right, RECORD)).collect()}
+    assert [k for k in range(90) if got.get(f"r{k}") != str(k)] == [] and [k for k in range(90) if got.get(f"s{k}") != str(1000 + k)] == []
+
+
 def test_one_to_one_is_the_best_assignment(spark):
     rng = random.Random(7)
     for _ in range(3):
