@@ -29,7 +29,9 @@ PRIOR = 3.0  # pages that the share over all hosts counts as beside a host's own
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 EDGES = re.compile(r"^[\s»«•·|\[\](){}→←*>–—-]+|[\s»«•·|\[\](){}→←*.…!>–—-]+$")
 TOKEN = re.compile(r"\w+|[^\w\s]")
-HEAD = 4  # tokens at the start of a content that tell it
+HEAD = 4  # tokens at the start of a content that may tell it, where what follows varies
+VARIED = 3  # tokens that follow a start outside kept branches, from which any may follow
+SURE = 12  # times that a content is seen inside only, from which its start doesn't count
 
 
 def normal(text: str, site: str) -> str:
@@ -44,10 +46,11 @@ def hashed(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-def keys(text: str, site: str) -> tuple[int, int]:
-    """Hashes of the whole normal line and of its first tokens."""
+def keys(text: str, site: str) -> tuple[int, int, int]:
+    """Hashes of the whole normal line, of its first tokens, and of these with the next."""
     t = normal(text, site)
-    return hashed(t), hashed(" ".join(TOKEN.findall(t)[:HEAD]))
+    tokens = TOKEN.findall(t)
+    return hashed(t), hashed(" ".join(tokens[:HEAD])), hashed(" ".join(tokens[: HEAD + 1]))
 
 
 def site_of(url: str | None) -> tuple[str, str]:
@@ -94,7 +97,7 @@ def texts(node: Node, path: str = "", heading: bool = False) -> Iterator[tuple[i
             yield from texts(c, f"{path}/{style(c)}", heading or c.tag in HEADINGS)
 
 
-LEAVES = "url string, host string, line_no int, branch int, style string, heading boolean, content long, head long, first boolean, n_chars int"
+LEAVES = "url string, host string, line_no int, branch int, style string, heading boolean, content long, head long, next long, first boolean, n_chars int"
 
 
 def leaves_of(url: str, page: str) -> list[tuple]:
@@ -121,8 +124,8 @@ def leaves_of(url: str, page: str) -> list[tuple]:
     for line in sorted(lines):
         branch, path, heading, parts = lines[line]
         text = " ".join(parts)
-        content, head = keys(text, site)
-        out.append((url, host, line, branch, path, heading, content, head, content not in seen, len(text)))
+        content, head, after = keys(text, site)
+        out.append((url, host, line, branch, path, heading, content, head, after, content not in seen, len(text)))
         seen.add(content)
     return out
 
@@ -135,13 +138,13 @@ def page_leaves(pages: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in LEAVES.split(", ")]
         for b in batches:
             rows = [r for u, h in zip(b["url"], b["html"]) for r in leaves_of(u, h)]
-            yield pd.DataFrame(rows, columns=names).astype({"line_no": "int32", "branch": "int32", "n_chars": "int32", "content": "int64", "head": "int64"})
+            yield pd.DataFrame(rows, columns=names).astype({"line_no": "int32", "branch": "int32", "n_chars": "int32", "content": "int64", "head": "int64", "next": "int64"})
 
     return one.mapInPandas(run, LEAVES)
 
 
 def text_leaves(texts_: DataFrame, url: str, text: str) -> DataFrame:
-    """The visible lines of a plain text, one text per url: (url, host, line_no, content, head)."""
+    """The visible lines of a plain text, one text per url: (url, host, line_no, content, head, next)."""
     one = texts_.select(F.col(url).alias("url"), F.col(text).alias("_t")).where("url IS NOT NULL AND _t IS NOT NULL").groupBy("url").agg(F.max("_t").alias("_t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,9 +153,9 @@ def text_leaves(texts_: DataFrame, url: str, text: str) -> DataFrame:
             for u, t in zip(b["url"], b["_t"]):
                 host, site = site_of(u)
                 rows += [(u, host, k, *keys(line, site)) for k, line in enumerate(t.split("\n")) if line.strip()]
-            yield pd.DataFrame(rows, columns=["url", "host", "line_no", "content", "head"]).astype({"line_no": "int32", "content": "int64", "head": "int64"})
+            yield pd.DataFrame(rows, columns=["url", "host", "line_no", "content", "head", "next"]).astype({"line_no": "int32", "content": "int64", "head": "int64", "next": "int64"})
 
-    return one.mapInPandas(run, "url string, host string, line_no int, content long, head long")
+    return one.mapInPandas(run, "url string, host string, line_no int, content long, head long, next long")
 
 
 def kept_branches(leaves: DataFrame) -> DataFrame:
@@ -175,16 +178,39 @@ def kept_branches(leaves: DataFrame) -> DataFrame:
     return best.where(F.col("_b.importance") >= LEAST_IMPORTANCE).select("url", (-F.col("_b.col2")).cast("int").alias("branch"))
 
 
-def boilerplate_heads(leaves: DataFrame) -> DataFrame:
-    """(host, head) of contents shown mostly outside the kept branches of a host's pages; ``leaves`` has ``inside``.
+def shares(leaves: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Of each ``key`` by host, and over all hosts: whether it is shown mostly outside the kept branches; ``leaves`` has ``inside``.
 
-    The share of a host is steadied by that over all hosts; host null stands for all hosts together, for texts of other hosts.
+    The share of a host is steadied by that over all hosts.
     """
-    seen = cut(leaves.groupBy("host", "head").agg(F.count_if(~F.col("inside")).alias("out"), F.count(F.lit(1)).alias("n")))
-    everywhere = seen.groupBy("head").agg(F.sum("out").alias("all_out"), (F.sum("out") / F.sum("n")).alias("share"))
-    rows = hot_join(seen, everywhere, ["head"], "inner")
-    own = rows.where(((F.col("out") + PRIOR * F.col("share")) / (F.col("n") + PRIOR) >= LEAST_OUTSIDE) & (F.col("all_out") >= 2)).select("host", "head")
-    return own.unionByName(everywhere.where((F.col("share") >= LEAST_OUTSIDE) & (F.col("all_out") >= 2)).select(F.lit("").alias("host"), "head")).distinct()
+    seen = cut(leaves.groupBy("host", key).agg(F.count_if(~F.col("inside")).alias("out"), F.count(F.lit(1)).alias("n")))
+    everywhere = cut(seen.groupBy(key).agg(F.sum("out").alias("all_out"), F.sum("n").alias("all_n")).withColumn("share", F.col("all_out") / F.col("all_n")))
+    own = hot_join(seen, everywhere, [key], "inner").withColumn("own", ((F.col("out") + PRIOR * F.col("share")) / (F.col("n") + PRIOR) >= LEAST_OUTSIDE) & (F.col("all_out") >= 2))
+    return cut(own.select("host", key, "own")), cut(everywhere.select(key, "all_out", "all_n", ((F.col("share") >= LEAST_OUTSIDE) & (F.col("all_out") >= 2)).alias("any")))
+
+
+def boilerplate_contents(leaves: DataFrame, contents: DataFrame) -> DataFrame:
+    """(host, content) of those of ``contents`` (host, content, head, next; distinct) that are boilerplate.
+
+    The whole content decides where it is shown to be boilerplate, or ``SURE`` times inside kept branches only. For others their
+    start does, if it stands before different contents outside, and the token after it is one that follows it there; any token may
+    follow a start that has many there and is never seen inside.
+    A content or start that a host's pages never show is judged by all hosts.
+    """
+    rows = cut(contents)
+    for key, name in (("content", "c"), ("head", "h")):
+        own, everywhere = shares(leaves, key)
+        rows = cut(hot_join(rows, own.withColumnRenamed("own", f"{name}_own"), ["host", key]))
+        rows = cut(hot_join(rows, everywhere.select(key, F.col("all_out").alias(f"{name}_out"), F.col("all_n").alias(f"{name}_n"), F.col("any").alias(f"{name}_any")), [key]))
+    outside = leaves.where("NOT inside")
+    varied = cut(outside.select("head", "next", "content").distinct().groupBy("head", "next").agg(F.count(F.lit(1)).alias("contents")))
+    starts = cut(varied.groupBy("head").agg(F.count(F.lit(1)).alias("nexts"), F.sum("contents").alias("tails")))
+    rows = cut(hot_join(rows, starts, ["head"]))
+    rows = hot_join(rows, varied.select("next", F.lit(True).alias("follows")).distinct(), ["next"])
+    whole = F.coalesce("c_own", "c_any", F.lit(False))
+    inside = (F.coalesce("c_out", F.lit(0)) == 0) & (F.coalesce("c_n", F.lit(0)) >= SURE)
+    start = F.coalesce("h_own", "h_any", F.lit(False)) & (F.col("tails") >= 2) & (F.coalesce("follows", F.lit(False)) | ((F.col("nexts") >= VARIED) & (F.col("h_out") == F.col("h_n"))))
+    return rows.where(whole | (~inside & F.coalesce(start, F.lit(False)))).select("host", "content")
 
 
 def mark_lines(pages: DataFrame, texts_: DataFrame | None = None, url: str = "url", text: str = "description") -> DataFrame:
@@ -199,19 +225,16 @@ def mark_lines(pages: DataFrame, texts_: DataFrame | None = None, url: str = "ur
     leaves = cut(page_leaves(pages))
     kept = kept_branches(leaves).withColumn("_kept", F.lit(True))
     placed = cut(leaves.join(kept, ["url", "branch"], "left").withColumn("inside", F.coalesce("_kept", F.lit(False))).drop("_kept"))
-    heads = cut(boilerplate_heads(placed)).withColumn("_bad", F.lit(True))
-    lines = hot_join(placed, heads, ["host", "head"])
+    rows = None if texts_ is None else cut(text_leaves(texts_, url, text))
+    names = ["host", "content", "head", "next"]
+    contents = placed.select(*names) if rows is None else placed.select(*names).unionByName(rows.select(*names))
+    bad = cut(boilerplate_contents(placed, contents.distinct())).withColumn("_bad", F.lit(True))
+    lines = hot_join(placed, bad, ["host", "content"])
     out = lines.select(F.lit("html").alias("field"), "url", "line_no", (~F.col("inside") | (F.coalesce("_bad", F.lit(False)) & ~F.col("heading"))).alias("boilerplate"))
-    if texts_ is None:
+    if rows is None:
         return out
-    rows = cut(text_leaves(texts_, url, text))
-    shown = placed.select("host", "head").distinct().withColumn("_shown", F.lit(True))
-    own = shown.join(heads, ["host", "head"], "left")
-    rows = cut(hot_join(rows, cut(own), ["host", "head"]))
-    anywhere = heads.where("host = ''").select("head", F.col("_bad").alias("_any"))
-    rows = hot_join(rows, anywhere, ["head"])
-    bad = F.when(F.coalesce("_shown", F.lit(False)), F.coalesce("_bad", F.lit(False))).otherwise(F.coalesce("_any", F.lit(False)))
-    return out.unionByName(rows.select(F.lit(text).alias("field"), "url", "line_no", bad.alias("boilerplate")))
+    rows = hot_join(rows, bad, ["host", "content"])
+    return out.unionByName(rows.select(F.lit(text).alias("field"), "url", "line_no", F.coalesce("_bad", F.lit(False)).alias("boilerplate")))
 
 
 def main_text(texts_: DataFrame, marks: DataFrame, url: str = "url", text: str = "description") -> DataFrame:

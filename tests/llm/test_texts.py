@@ -87,6 +87,15 @@ def test_boilerplate(spark):
     assert dict(map(tuple, boilerplate.main_text(df, frame).collect()))["https://larder.example/recipes/1"] == "A dish of note.\n"
 
 
+def test_a_line_that_begins_like_a_site_line_is_kept(spark):
+    pages, _ = site(40)
+    dishes = ["Spiced curry", "Leek pie", "Plum cake", "Cold soup"]
+    pages = [(u, f, h.replace("<footer>", f"<footer>\n<p>You may also like: {dishes[k % 4]}</p>"), at) for k, (u, f, h, at) in enumerate(pages)]
+    texts = [("https://larder.example/recipes/1", "You may also like to add sumac at the end.\nYou may also like: Leek pie\nYou may also like: Duck stew"), ("https://other.example/1", "You may also like to add sumac\nYou may also like: Duck stew")]
+    marks = boilerplate.mark_lines(spark.createDataFrame(pages, PAGE), spark.createDataFrame(texts, "url string, description string")).collect()
+    assert {(r["url"], r["line_no"]) for r in marks if r["field"] == "description" and r["boilerplate"]} == {("https://larder.example/recipes/1", 1), ("https://larder.example/recipes/1", 2), ("https://other.example/1", 1)}
+
+
 def test_boilerplate_of_empty_tables(spark):
     pages = spark.createDataFrame([], PAGE)
     assert boilerplate.mark_lines(pages, spark.createDataFrame([], "url string, description string")).count() == 0
