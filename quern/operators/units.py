@@ -1,21 +1,24 @@
 """Quantities in many units to common ones, with a hidden Markov model for values whose unit isn't stated with them.
 
 Stated quantities are parsed. A bare value's unit is the hidden state of a chain per device (here: the site that recorded it):
-its log value, brought to the common unit, is emitted around the device's smooth level, words near it that name a unit weigh in,
-and Viterbi finds where the device switched units. Stated values are states that are known, so they steady the chain.
+its log value, brought to the common unit, jumps from the last one as a smooth level would, words near it that name a unit weigh in,
+and Viterbi finds where the device switched units. Stated values are known in every state, so they hold the level. How smooth a
+device is, and how often it switches, is learned from its rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from quern.session import cut
 
@@ -182,123 +185,223 @@ def hints(text: str | None) -> list[float]:
     return out
 
 
-# Parameters of the chain, in nats and logs: staying in a unit, spread of values around the level, weight of stated units.
-SWITCH, SPREAD, BLOCK, SURE = 0.15, 1.0, 4096, 1e6
+# Parameters of the chain, in nats and logs of minutes. What a device's own rows say is joined with so many rows' worth of what all
+# devices say, and that with as much of the values here: an hour, a smooth level, few switches, all units alike.
+LEVEL, RHO, VARIANCE, SWITCH, PRIOR_ROWS = math.log(60.0), 0.9, 1.0, 0.05, 20.0
+BLOCK, FAN = 4096, 4096  # rows of a block, and segments of a chain that are joined in one task
+FIXED = 1 << 20  # scores are whole numbers of this part of a nat, so that sums don't depend on their order
+LOGS = np.log([f for _, f in STATES])
 
 
-def emissions(value: np.ndarray, stated: np.ndarray, hint: np.ndarray, level: float) -> np.ndarray:
-    """Log-likelihood of each row under each state; a stated value is in minutes and only that state may hold it."""
-    factors = np.log([f for _, f in STATES])
-    out = -0.5 * ((np.log(np.maximum(value, 1e-6))[:, None] + factors[None, :] - level) / SPREAD) ** 2 + hint
-    known = np.full(len(STATES), -SURE)
-    known[1] = 0.0
-    out[stated] = known
-    return out
+@dataclass(frozen=True)
+class Chain:
+    """What is known of a device: the level of its log minutes, how they stay with the last one, their spread, and its units."""
+
+    level: float = LEVEL
+    rho: float = RHO
+    variance: float = VARIANCE * (1 - RHO * RHO)
+    switch: float = SWITCH
+    shares: tuple[float, ...] = (1 / len(STATES),) * len(STATES)
+
 
+def steps(value: np.ndarray, stated: np.ndarray, hint: np.ndarray, before: np.ndarray, before_stated: np.ndarray, tie: np.ndarray, chain: Chain) -> np.ndarray:
+    """(rows, from, to): the score of each row's unit after the unit of the row before it, as whole numbers.
 
-def steps() -> np.ndarray:
+    A row's log minutes are expected at the level, or where the last row's jump away from it leaves them: the score is that of the
+    jump, with the cost of a switch of unit and the weight of hints. Stated minutes are the same in every state, so the unit lives on
+    through them. A null value before begins a chain. ``tie`` is a hash of the row that parts paths of equal score.
+    """
     k = len(STATES)
-    return np.where(np.eye(k, dtype=bool), np.log(1 - SWITCH), np.log(SWITCH / (k - 1)))
-
-
-def block_level(value: np.ndarray, stated: np.ndarray) -> float:
-    """The smooth level of a block: median log minutes of its stated values, or of an hour where there is none."""
-    v = value[stated & (value > 0)]
-    return float(np.log(np.median(v))) if len(v) else float(np.log(60.0))
-
-
-def transfer(e: np.ndarray) -> np.ndarray:
-    """Best score of a block from each state before it to each state at its end."""
-    a = steps()
-    m = a + e[0][None, :]
-    for x in e[1:]:
-        m = (m[:, :, None] + a[None, :, :]).max(axis=1) + x[None, :]
-    return m
-
-
-def decode(e: np.ndarray, entry: int, exit_: int) -> np.ndarray:
-    """The best states of a block between a state before it and its last state; ``entry`` -1 for the start of a chain."""
-    a, n = steps(), len(e)
-    score = e[0] + (a[entry] if entry >= 0 else 0.0)
-    back = np.zeros((n, len(STATES)), dtype=np.int64)
-    for i in range(1, n):
-        all_ = score[:, None] + a
-        back[i] = all_.argmax(axis=0)
-        score = all_.max(axis=0) + e[i]
-    path = np.zeros(n, dtype=np.int64)
-    path[-1] = exit_
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i][path[i]]
-    return path
-
-
-def scan(matrices: list[np.ndarray], start: np.ndarray) -> tuple[list[int], list[int]]:
-    """Entry and exit states of each block of a chain, from the blocks' transfer matrices alone: the same as one Viterbi over all rows."""
-    scores = []
-    for k, m in enumerate(matrices):
-        scores.append((start[:, None] if not k else scores[-1][:, None]) + m)
-        scores[-1] = scores[-1].max(axis=0)
-    exits, entries = [int(scores[-1].argmax())], []
-    for k in range(len(matrices) - 1, 0, -1):
-        entry = int((scores[k - 1] + matrices[k][:, exits[-1]]).argmax())
-        entries.append(entry)
-        exits.append(entry)
-    entries.append(int((start + matrices[0][:, exits[-1]]).argmax()))
-    return entries[::-1], exits[::-1]
 
+    def logs(v: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(v, 1e-6))[:, None] + np.where(known[:, None], 0.0, LOGS)
+
+    now, last = logs(value, stated) - chain.level, logs(np.nan_to_num(before, nan=1.0), before_stated) - chain.level
+    jump = now[:, None, :] - chain.rho * last[:, :, None]
+    move = np.log((1 - chain.switch) * np.eye(k) + chain.switch * np.array(chain.shares))
+    score = -0.5 * jump**2 / chain.variance + move
+    start = -0.5 * now**2 * (1 - chain.rho**2) / chain.variance + np.log(chain.shares)
+    score = np.where(np.isnan(before)[:, None, None], start[:, None, :], score) + hint[:, None, :]
+    noise = (tie[:, None] >> (8 * np.arange(k))) & 255
+    return np.rint(score * FIXED).astype(np.int64) + noise[:, None, :]
+
+
+def levels_of(m: np.ndarray) -> list[np.ndarray]:
+    """Max-plus products of neighbours, of their products, and so on, up to the one of the whole; the first level is ``m`` itself."""
+    out = [m]
+    while len(m) > 1:
+        pairs = m[: len(m) // 2 * 2]
+        joined = (pairs[0::2, :, :, None] + pairs[1::2, None, :, :]).max(axis=2)
+        m = np.concatenate([joined, m[-1:]]) if len(m) % 2 else joined
+        out.append(m)
+    return out
 
-def decode_units(rows: DataFrame, device: str, order: list[str], block: int = BLOCK) -> DataFrame:
-    """``rows`` of (``device``, ``order`` columns, value, stated, hint) with ``minutes`` and ``unit_state``, by Viterbi per device.
 
-    ``value`` is minutes where ``stated``, else a bare number; ``hint`` an array of weights per state. Chains run in the given
-    order. A device may hold any share of the rows: its chain is cut into blocks of ``block`` rows, each block gives a matrix
-    of best scores from state to state, a scan over a device's matrices (one for each 4,096 rows) fixes the states at the block
-    ends, and blocks are decoded in between; the result is that of one pass. A null device is a chain of its own.
+def unfold(levels: list[np.ndarray], entry: int, exit_: int) -> tuple[np.ndarray, np.ndarray]:
+    """States before and after each segment of the first level, on the best path from ``entry`` before the whole to ``exit_`` at its end."""
+    before, after = np.array([entry]), np.array([exit_])
+    for m in levels[-2::-1]:
+        n = len(m)
+        a, b = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        h = n // 2
+        left, right = m[: 2 * h : 2], m[1 : 2 * h : 2]
+        at = np.arange(h)
+        mid = (left[at, before[:h], :] + right[at, :, after[:h]]).argmax(axis=1)
+        a[: 2 * h : 2], b[: 2 * h : 2] = before[:h], mid
+        a[1 : 2 * h : 2], b[1 : 2 * h : 2] = mid, after[:h]
+        if n % 2:
+            a[-1], b[-1] = before[-1], after[-1]
+        before, after = a, b
+    return before, after
+
+
+def learned(rows: DataFrame) -> DataFrame:
+    """(_d, level, rho, variance, switch, shares): each device's ``Chain``, from all its rows; rows have the value before them.
+
+    Level, persistence and spread come from stated values and stated neighbours; units and their switches from bare values and bare
+    neighbours, each taken for the unit that brings it nearest to an hour. Sums are of whole numbers, so neither order nor parts show.
+    """
+    x, y = F.log("_before") - LEVEL, F.log("value") - LEVEL
+    whole = lambda c: F.round(c * 1e6).cast("long")
+    up = F.col("stated") & (F.col("value") > 0)
+    pair = up & F.col("_before_stated") & (F.col("_before") > 0)
+    bare, both = ~F.col("stated"), ~F.col("stated") & ~F.col("_before_stated")
+
+    def guess(name: str) -> Column:
+        v = F.log(F.greatest(F.col(name), F.lit(1e-6)))
+        return F.least(*[F.struct(F.abs(v + float(f) - LEVEL).alias("far"), F.lit(k).alias("k")) for k, f in enumerate(LOGS)])["k"]
+
+    sums = {"n": F.count_if(up), "s": F.sum(F.when(up, whole(y))), "p": F.count_if(pair), "px": F.sum(F.when(pair, whole(x))), "py": F.sum(F.when(pair, whole(y)))}
+    sums |= {"pxx": F.sum(F.when(pair, whole(x * x))), "pxy": F.sum(F.when(pair, whole(x * y))), "pyy": F.sum(F.when(pair, whole(y * y)))}
+    sums |= {"b": F.count_if(both), "c": F.count_if(both & (guess("value") != guess("_before")))}
+    sums |= {f"u{k}": F.count_if(bare & (guess("value") == k)) for k in range(len(STATES))}
+    per = cut(rows.groupBy("_d").agg(*[F.coalesce(c, F.lit(0)).cast("double").alias(k) for k, c in sums.items()]))
+
+    def chain(prior: dict, of) -> dict:
+        n, w = of("n"), PRIOR_ROWS
+        p = of("p") + (of("p") == 0).cast("double") if isinstance(n, Column) else max(of("p"), 1.0)
+        xx = of("pxx") / 1e6 - (of("px") / 1e6) * (of("px") / 1e6) / p
+        xy = of("pxy") / 1e6 - (of("px") / 1e6) * (of("py") / 1e6) / p
+        yy = of("pyy") / 1e6 - (of("py") / 1e6) * (of("py") / 1e6) / p
+        least, most = (F.least, F.greatest) if isinstance(n, Column) else (min, max)
+        lit = F.lit if isinstance(n, Column) else float
+        spread = prior["variance"] / (1 - prior["rho"] * prior["rho"])
+        rho = least(most((xy + w * prior["rho"] * spread) / (xx + w * spread), lit(0.0)), lit(0.98))
+        variance = (most(yy - 2 * rho * xy + rho * rho * xx, lit(0.0)) + w * prior["variance"]) / (of("p") + w)
+        total = sum((of(f"u{k}") for k in range(len(STATES))), lit(0.0))
+        shares = [(of(f"u{k}") + w * prior["shares"][k]) / (total + w) for k in range(len(STATES))]
+        other = 1 - sum((q * q for q in shares), lit(0.0))  # switches that lead to another unit
+        switch = least((of("c") / most(other, lit(0.05)) + w * prior["switch"]) / (of("b") + w), lit(0.999))
+        return {"level": (of("s") / 1e6 + w * prior["level"]) / (n + w), "rho": rho, "variance": variance, "switch": switch, "shares": shares}
+
+    all_ = per.agg(*[F.coalesce(F.sum(k), F.lit(0.0)).alias(k) for k in sums]).first()
+    base = {"level": 0.0, "rho": RHO, "variance": VARIANCE * (1 - RHO * RHO), "switch": SWITCH, "shares": [1 / len(STATES)] * len(STATES)}
+    own = chain(chain(base, lambda k: all_[k]), F.col)
+    return per.select("_d", (own["level"] + LEVEL).alias("level"), own["rho"].alias("rho"), own["variance"].alias("variance"), own["switch"].alias("switch"), F.array(*own["shares"]).alias("shares"))
+
+
+def in_order(rows: DataFrame, device: str, order: list[str], block: int) -> DataFrame:
+    """``rows`` with their device as a key that is never null, their block, place in it, the value before them on the device, and a hash.
+
+    Rows are range-partitioned, so a device may lie in many parts; the last row of each part stands for it where the next begins.
     """
     spark = rows.sparkSession
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    keyed = rows.repartitionByRange(int(parts), *[F.col(c) for c in (device, *order)]).sortWithinPartitions(device, *order)
-    names = rows.columns
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = cut(rows.withColumn("_d", F.coalesce(F.concat(F.lit("="), F.col(device).cast("string")), F.lit(""))).withColumn("_tie", F.xxhash64("_d", *order)))
+    keyed = keyed.repartitionByRange(parts, *[F.col(c) for c in ("_d", *order)]).sortWithinPartitions("_d", *order, "_tie")
 
-    def number_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, n, k = object(), 0, 0
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seen, chunk, value, known = None, 0, -1, np.nan, False
         for b in batches:
-            ids, at = [], []
-            for d in b[device]:
-                if d != last and not (pd.isna(d) and pd.isna(last)):
-                    last, n, k = d, 0, k + 1
-                elif n >= block:
-                    n, k = 0, k + 1
-                ids.append(k)
-                at.append(n)
-                n += 1
-            yield b.assign(_chunk=np.array(ids, dtype="int64"), _at=np.array(at, dtype="int64"))
-
-    schema = StructType([*rows.schema.fields, StructField("_chunk", LongType()), StructField("_at", LongType())])
-    placed = cut(keyed.mapInPandas(number_blocks, schema).withColumn("_part", F.spark_partition_id()))
-    placed = placed.withColumn("_block", F.concat_ws("-", F.format_string("%08d", "_part"), F.format_string("%012d", "_chunk")))
+            d = b["_d"].to_numpy()
+            new = np.concatenate([[last is None or d[0] != last], d[1:] != d[:-1]]) if len(d) else np.zeros(0, dtype=bool)
+            start = np.maximum.accumulate(np.where(new, np.arange(len(d)), -1))
+            nth = np.where(start >= 0, np.arange(len(d)) - start, np.arange(len(d)) + seen)
+            first = nth % block == 0
+            ids = chunk + np.cumsum(first)
+            v, s = b["value"].to_numpy(float), b["stated"].to_numpy(bool)
+            before, before_stated = np.concatenate([[value], v[:-1]])[: len(v)], np.concatenate([[known], s[:-1]])[: len(s)]
+            before = np.where(new, np.nan, before)
+            if len(d):
+                last, seen, chunk, value, known = d[-1], int(nth[-1]) + 1, int(ids[-1]), v[-1], bool(s[-1])
+            yield b.assign(_chunk=ids.astype("int64"), _at=(nth % block).astype("int64"), _new=new, _before=before, _before_stated=before_stated)
+
+    extra = [StructField("_chunk", LongType()), StructField("_at", LongType()), StructField("_new", BooleanType()), StructField("_before", DoubleType()), StructField("_before_stated", BooleanType())]
+    placed = cut(keyed.mapInPandas(number, StructType([*keyed.schema.fields, *extra])).withColumn("_part", F.spark_partition_id()))
+    ends = placed.groupBy("_d", "_part").agg(F.max_by(F.struct("value", "stated"), F.struct("_chunk", "_at")).alias("_e"))
+    ends = ends.select("_d", "_part", F.lit(True).alias("_new"), F.lag("_e").over(Window.partitionBy("_d").orderBy("_part")).alias("_e")).where("_e IS NOT NULL")  # one row at most for each part
+    placed = placed.withColumn("_before", F.when(~F.isnan("_before"), F.col("_before"))).join(F.broadcast(ends), ["_d", "_part", "_new"], "left")
+    before = [F.coalesce("_before", "_e.value").alias("_before"), F.coalesce(F.when(F.col("_new"), F.col("_e.stated")).otherwise(F.col("_before_stated")), F.lit(False)).alias("_before_stated")]
+    return placed.select(*rows.columns, "_d", "_tie", "_part", "_chunk", "_at", *before)
+
+
+WORK = ["_d", "_part", "_chunk", "_at", "_tie", "_before", "_before_stated"]
+CHAIN = ["level", "rho", "variance", "switch", "shares"]
 
-    def emit(b: pd.DataFrame) -> np.ndarray:
-        value, stated = b["value"].to_numpy(float), b["stated"].to_numpy(bool)
-        return emissions(value, stated, np.array(b["hint"].tolist(), dtype=float), block_level(value, stated))
 
-    def matrix(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("_at")
-        return pd.DataFrame({"_block": [b["_block"].iloc[0]], "_device": [b[device].iloc[0]], "_m": [transfer(emit(b)).ravel().tolist()]})
+def decode_units(rows: DataFrame, device: str, order: list[str], block: int = BLOCK) -> DataFrame:
+    """``rows`` of (``device``, ``order`` columns, value, stated, hint) with ``minutes`` and ``unit_state``, by Viterbi per device.
 
-    def ends(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("_block")
-        k = len(STATES)
-        entries, exits = scan([np.array(m).reshape(k, k) for m in b["_m"]], np.full(k, -np.log(k)))
-        return pd.DataFrame({"_block": b["_block"].to_numpy(), "_entry": np.array(entries, dtype="int64"), "_exit": np.array(exits, dtype="int64")})
+    ``value`` is minutes where ``stated``, else a bare number; ``hint`` an array of weights per state. Chains run in the given
+    order, rows that tie in it by a hash. A device may hold any share of the rows: its chain is cut into blocks of ``block`` rows, each gives a matrix of
+    best scores from state to state; matrices are joined in a tree, no more than ``FAN`` or a part's in one task, which fixes the states at
+    the ends of blocks, and blocks are decoded in between. Scores are whole numbers, so blocks and parts don't show in the result: it is that of one pass. A null device is a
+    chain of its own.
+    """
+    names, k = rows.columns, len(STATES)
+    placed = cut(in_order(rows, device, order, block))
+    blocks = placed.select("_d", "_part", "_chunk").distinct()
+    known = cut(blocks.join(learned(placed), "_d"))
+    keys = ["_d", "_part", "_chunk"]
+
+    def emit(b: pd.DataFrame) -> np.ndarray:
+        c = b.iloc[0]
+        chain = Chain(c["level"], c["rho"], c["variance"], c["switch"], tuple(c["shares"]))
+        hint = np.stack(b["hint"].to_numpy()).astype(float)
+        return steps(b["value"].to_numpy(float), b["stated"].to_numpy(bool), hint, b["_before"].to_numpy(float), b["_before_stated"].to_numpy(bool), b["_tie"].to_numpy("int64"), chain)
 
-    work = placed.select("_block", "_at", F.col(device), "value", "stated", "hint")
-    matrices = work.groupBy("_block").applyInPandas(matrix, "_block string, _device string, _m array<double>")
-    states = matrices.groupBy("_device").applyInPandas(ends, "_block string, _entry long, _exit long")
+    def matrix(b: pd.DataFrame) -> pd.DataFrame:
+        m = levels_of(emit(b.sort_values("_at")))[-1][0]
+        return b.iloc[:1][keys].assign(_m=[m.ravel().tolist()])
+
+    work = placed.select(*WORK, "value", "stated", "hint").join(known, keys)
+    tree = [cut(work.groupBy(*keys).applyInPandas(matrix, "_d string, _part int, _chunk long, _m array<long>"))]
+    parts, blocks_ = tree[0].agg(F.max("_part"), F.count(F.lit(1))).first()
+    widths = []
+    while blocks_ > FAN and (not widths or parts // widths[-1] >= FAN):
+        widths.append(widths[-1] * FAN if widths else 1)
+    widths.append((parts or 0) + 1)  # the last level is the device
+
+    def stack(b: pd.DataFrame) -> list[np.ndarray]:
+        return levels_of(np.stack(b["_m"].to_numpy()).astype(np.int64).reshape(-1, k, k))
+
+    def joined(width: int):
+        def run(b: pd.DataFrame) -> pd.DataFrame:
+            b = b.sort_values(["_part", "_chunk"])
+            m = stack(b)[-1][0]
+            return pd.DataFrame({"_d": b["_d"].iloc[:1], "_part": (b["_part"].iloc[:1] // width * width).astype("int32"), "_chunk": [0], "_m": [m.ravel().tolist()]})
+
+        return run
+
+    group = lambda w: (F.col("_part") - F.col("_part") % w).cast("int").alias("_g")
+    for w in widths:
+        tree.append(cut(tree[-1].groupBy("_d", group(w)).applyInPandas(joined(w), "_d string, _part int, _chunk long, _m array<long>")))
+
+    def parted(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["_part", "_chunk"])
+        levels = stack(b)
+        entry, exit_ = int(b["_entry"].iloc[0]), int(b["_exit"].iloc[0])
+        before, after = unfold(levels, entry, exit_ if exit_ >= 0 else int(levels[-1][0][entry].argmax()))
+        return b[keys].assign(_entry=before, _exit=after)
+
+    ends = tree[-1].select("_d", "_part", F.lit(0).cast("long").alias("_entry"), F.lit(-1).cast("long").alias("_exit"))  # the first row doesn't ask what was before
+    for w, level in zip(reversed(widths), reversed(tree[:-1])):
+        above = ends.select("_d", F.col("_part").alias("_g"), "_entry", "_exit")
+        ends = level.select("*", group(w)).join(above, ["_d", "_g"]).groupBy("_d", "_g").applyInPandas(parted, "_d string, _part int, _chunk long, _entry long, _exit long")
 
     def finish(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("_at")
-        path = decode(emit(b), int(b["_entry"].iloc[0]), int(b["_exit"].iloc[0]))
+        _, path = unfold(levels_of(emit(b)), int(b["_entry"].iloc[0]), int(b["_exit"].iloc[0]))
         factor = np.where(b["stated"].to_numpy(bool), 1.0, np.array([f for _, f in STATES])[path])
         out = b[names].copy()
         out["minutes"] = b["value"].to_numpy(float) * factor
@@ -306,7 +409,7 @@ def decode_units(rows: DataFrame, device: str, order: list[str], block: int = BL
         return out
 
     out = StructType([*rows.schema.fields, StructField("minutes", DoubleType()), StructField("unit_state", StringType())])
-    return placed.join(states, "_block").groupBy("_block").applyInPandas(finish, out)
+    return placed.select(*names, *[c for c in WORK if c not in names]).join(known.join(ends, keys), keys).groupBy(*keys).applyInPandas(finish, out)
 
 
 AMOUNTS = "array<struct<item_no: int, amount: bigint, unit: string>>"

@@ -44,22 +44,29 @@ def test_hints_need_a_unit_without_number():
     assert U.hints(None) == [0, 0, 0, 0]
 
 
-def test_blocks_give_the_path_of_one_pass():
+def test_the_tree_gives_the_best_path():
     rng = np.random.default_rng(1)
-    for n in (1, 2, 3, 6):
-        e = rng.normal(size=(n, len(U.STATES))) * 3
-        start, step = np.full(len(U.STATES), -np.log(len(U.STATES))), U.steps()
+    k = len(U.STATES)
+    for n in (1, 2, 3, 5, 6):
+        m = rng.integers(0, 1000, size=(n, k, k))
+        levels = U.levels_of(m)
+        exit_ = int(levels[-1][0][0].argmax())
+        before, after = U.unfold(levels, 0, exit_)
+        assert list(before[1:]) == list(after[:-1]) and before[0] == 0
 
-        def total(p, e=e, start=start, step=step):  # the start is a state before the first row
-            first = max(start[i] + step[i][p[0]] for i in range(len(start)))
-            return first + sum(e[k][s] for k, s in enumerate(p)) + sum(step[a][b] for a, b in itertools.pairwise(p))
+        def total(p, m=m):
+            return sum(int(m[i, a, b]) for i, (a, b) in enumerate(itertools.pairwise((0, *p))))
 
-        best = max(itertools.product(range(len(U.STATES)), repeat=n), key=total)
-        for size in (1, 2, 4):
-            blocks = [e[k : k + size] for k in range(0, n, size)]
-            entries, exits = U.scan([U.transfer(b) for b in blocks], start)
-            path = np.concatenate([U.decode(b, i, o) for b, i, o in zip(blocks, entries, exits)])
-            assert total(tuple(path)) == pytest.approx(total(best))
+        assert total(after) == max(total(p) for p in itertools.product(range(k), repeat=n))
+
+
+def test_a_step_weighs_the_jump_the_switch_and_the_hint():
+    chain = U.Chain(rho=1.0 - 1e-9, variance=0.25, switch=0.2)
+    got = U.steps(np.array([2.0]), np.array([False]), np.array([[0.0, 0.0, 3.0, 0.0]]), np.array([90.0]), np.array([False]), np.array([0]), chain)[0] / U.FIXED
+    for a, (_, f) in enumerate(U.STATES):
+        for b, (_, g) in enumerate(U.STATES):
+            want = -0.5 * (np.log(2 * g / (90 * f)) / 0.5) ** 2 + np.log(0.2 / 4 + 0.8 * (a == b)) + 3.0 * (b == 2)
+            assert got[a, b] == pytest.approx(want, abs=1e-4)
 
 
 SCHEMA = "url string, title string, ingredients array<string>, prep_time string, description string, crawled_at timestamp_ntz"
@@ -77,13 +84,39 @@ def test_bare_numbers_follow_hint_then_level_and_neighbours(spark):
     assert [got["prep_time", f"https://a.example/{k}", -1] for k in range(1, 7)] == [(x, "min") for x in (60, 90, 150, 90, 45, 50)]
 
 
-def test_block_size_and_partitions_do_not_show(spark):
+ROWS = "device string, k int, value double, stated boolean, hint array<double>"
+
+
+def devices(n: int) -> list[tuple]:
+    """A device with two thirds of the rows, one without device, and small ones; one row in seven is stated."""
     rng = np.random.default_rng(2)
-    rows = [(f"d{k % 3 == 0}", k, float(rng.integers(1, 90)), bool(k % 4 == 0), [0.0, 0.0, 0.0, 0.0]) for k in range(200)]
-    df = spark.createDataFrame(rows, "device string, k int, value double, stated boolean, hint array<double>")
-    small = {(r["device"], r["k"]): r["minutes"] for r in U.decode_units(df.repartition(3), "device", ["k"]).collect()}
-    again = {(r["device"], r["k"]): r["minutes"] for r in U.decode_units(df.repartition(1), "device", ["k"]).collect()}
-    assert len(small) == 200 and small == again
+    names = ["hot", "hot", "hot", "hot", None, "few"]
+    return [(names[int(rng.integers(6))], int(rng.integers(n // 2)), float(np.exp(rng.normal(4, 1.2))) / (1.0, 60.0)[int(rng.integers(2))], bool(k % 7 == 0), [0.0] * 4) for k in range(n)]
+
+
+def test_blocks_partitions_and_the_tree_do_not_show(spark, monkeypatch):
+    df = spark.createDataFrame(devices(2500), ROWS)
+    parts, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for block, n, fan in ((4096, 1, 4096), (64, 1, 2), (64, 4, 2), (500, 4, 4096), (500, 16, 3), (4096, 16, 2)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            monkeypatch.setattr(U, "FAN", fan)
+            got = U.decode_units(df.repartition(3), "device", ["k"], block).select("device", "k", "value", "stated", "unit_state", "minutes").collect()
+            found.append(sorted(map(str, got)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert len(found[0]) == 2500 and all(f == found[0] for f in found)
+
+
+@pytest.mark.parametrize("level", [5.0, 30.0, 600.0])
+def test_switches_are_read_from_jumps(spark, level):
+    """A device of bare numbers that goes to another unit every 40 rows; one value in fifty is stated."""
+    rng = np.random.default_rng(3)
+    minutes = level * np.exp(np.cumsum(rng.normal(0, 0.05, 400)))
+    unit = [U.STATES[1 + k // 40 % 2][1] for k in range(400)]
+    rows = [("d", k, float(m if k % 50 == 0 else m / u), k % 50 == 0, [0.0] * 4) for k, (m, u) in enumerate(zip(minutes, unit))]
+    got = {r["k"]: r["minutes"] for r in U.decode_units(spark.createDataFrame(rows, ROWS), "device", ["k"]).collect()}
+    assert sum(got[k] == pytest.approx(minutes[k]) for k in range(400)) >= 396
 
 
 def test_edge_cases(spark):
