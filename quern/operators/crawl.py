@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.urls import file_to_url, hrefs, is_recipe_url, is_search_url, part, resolve, skipped_suffix
-from quern.session import cut
-from quern.sinks.files import save_pages
+from quern.session import cut, stored
+from quern.sinks.files import recovered, replace_table, save_pages
 from quern.sources.pages import exists
 
 STATE = "url string, depth int, visited boolean, downloaded boolean"
@@ -36,14 +36,20 @@ def crawl(pages, seeds: DataFrame, max_depth: int | None = None, state: DataFram
     ``pages`` is a frame (url, html) that stands for the web, or a function from a frame of urls to such a frame, like a
     fetcher. ``visited`` are pages whose links were followed, those at ``max_depth`` aren't; ``downloaded`` recipe pages that
     were got. A saved ``state`` is taken up: its unvisited urls are the frontier. Each level is written out, so lineage stays
-    short and a lost executor costs a level at most; per level one anti-join with all seen urls.
+    short and a lost executor costs a level at most; levels are added beside each other, none is written twice, and per level there is
+    one anti-join with all seen urls. A state without depths is an error.
     """
     get = pages if callable(pages) else lambda urls: pages.join(urls.select("url"), "url", "left_semi")
-    if state is not None and "depth" in state.columns:
-        done = state.where("visited")
+    columns = "url", "depth", "visited", "downloaded"
+    levels: list[str] = []
+    if state is not None:
+        if missing := set(columns) - set(state.columns):
+            raise ValueError(f"a crawl's state needs {', '.join(sorted(missing))}")
+        done = state.where("visited").select(*columns)
+        spark, levels = state.sparkSession, [stored(done)]
         frontier = cut(state.where("NOT visited").select("url", "depth").unionByName(seeds.select("url", F.lit(0).alias("depth"))).groupBy("url").agg(F.min("depth").alias("depth")).join(done.select("url"), "url", "left_anti"))
     else:
-        done = None
+        spark = seeds.sparkSession
         frontier = cut(seeds.select("url", F.lit(0).alias("depth")).where("url IS NOT NULL").distinct())
     while not frontier.isEmpty():
         if max_depth is not None:
@@ -54,14 +60,15 @@ def crawl(pages, seeds: DataFrame, max_depth: int | None = None, state: DataFram
         got = cut(get(frontier).select("url", "html").where("html IS NOT NULL"))
         level = frontier.join(got.select("url").distinct().withColumn("_got", F.lit(True)), "url", "left")
         level = level.select("url", "depth", F.lit(True).alias("visited"), (F.coalesce("_got", F.lit(False)) & is_recipe_url("url")).alias("downloaded"))
-        done = cut(level if done is None else done.unionByName(level))
+        levels.append(stored(level))
+        done = spark.read.schema(STATE).parquet(*levels)
         edges = page_edges(got).join(frontier.withColumnRenamed("url", "src_url"), "src_url")
         found = edges.groupBy(F.col("dst_url").alias("url")).agg((F.min("depth") + 1).alias("depth"))
         if max_depth is not None:
             found = found.unionByName(later).groupBy("url").agg(F.min("depth").alias("depth"))
         frontier = cut(found.join(done.select("url"), "url", "left_anti"))
     rest = frontier.select("url", "depth", F.lit(False).alias("visited"), F.lit(False).alias("downloaded"))
-    return rest if done is None else done.unionByName(rest)
+    return rest if not levels else spark.read.schema(STATE).parquet(*levels).unionByName(rest)
 
 
 def level_counts(state: DataFrame) -> DataFrame:
@@ -71,11 +78,11 @@ def level_counts(state: DataFrame) -> DataFrame:
 
 def save_state(state: DataFrame, path: str) -> None:
     """Write the state of a crawl beside the old one, then take its place, so that a crash leaves one that can be read."""
-    cut(state).write.mode("overwrite").parquet(path)
+    replace_table(state, path)
 
 
 def load_state(spark, path: str) -> DataFrame | None:
-    return spark.read.schema(STATE).parquet(path) if exists(spark, path) else None
+    return spark.read.schema(STATE).parquet(path) if exists(spark, recovered(spark, path)) else None
 
 
 def missing_urls(wanted_: DataFrame, have: DataFrame) -> DataFrame:
@@ -95,13 +102,12 @@ def reconcile(sitemap: DataFrame, saved: DataFrame, name: str = "html_file") ->
 def apply_reconcile(spark, table: str, sitemap: DataFrame, fetched: DataFrame | None = None, drop_extra: bool = False) -> DataFrame:
     """The saved pages brought in line with the sitemap: missing ones that were ``fetched`` are appended; with ``drop_extra`` others go.
 
-    Dropping rewrites the table from a written copy; it is off unless asked for.
+    Dropping puts a new table in the old one's place; it is off unless asked for.
     """
     if fetched is not None:
         save_pages(fetched.join(sitemap.select("url"), "url", "left_semi"), table)
-    saved = spark.read.parquet(table)
+    saved = spark.read.parquet(recovered(spark, table))
     if drop_extra:
-        kept = cut(saved.join(sitemap.select("url").distinct(), "url", "left_semi"))
-        kept.write.mode("overwrite").parquet(table)
+        replace_table(saved.join(sitemap.select("url").distinct(), "url", "left_semi"), table)
         saved = spark.read.parquet(table)
     return reconcile(sitemap, saved)

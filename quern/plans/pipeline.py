@@ -13,7 +13,7 @@ from quern.operators.extract import extract
 from quern.operators.index import build_index
 from quern.operators.link import enrich, link, match_rate
 from quern.operators.search import search
-from quern.sinks.files import recipe_record, write_index, write_jsonl, write_single_jsonl
+from quern.sinks.files import recipe_record, replace_table, write_index, write_jsonl, write_single_jsonl
 from quern.sources.dump import read_dump_index
 from quern.sources.pages import RECIPE, exists, need, read_html_dir, read_jsonl
 
@@ -45,10 +45,9 @@ def run_link(spark: SparkSession, p: Paths, config: Config = Config()) -> DataFr
     """Links are written without descriptions first, so they are there if the dump can't be read; then with them."""
     pages = read_dump_index(spark, need(spark, p.dump_index or "dump_index"))
     found = link(read_jsonl(spark, p.recipes), pages, config.similarity, config.title_order)
-    found.write.mode("overwrite").parquet(p.links)
+    replace_table(found, p.links)
     if p.dump:
-        full = session.cut(enrich(spark.read.parquet(p.links), p.dump))
-        full.write.mode("overwrite").parquet(p.links)
+        replace_table(enrich(spark.read.parquet(p.links), p.dump), p.links)
     out = spark.read.parquet(p.links)
     if p.export:
         write_single_jsonl(out.drop("similarity"), p.export)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -27,11 +28,22 @@ def build(master: str | None = None, app: str = "quern", **conf: str) -> SparkSe
     return b.getOrCreate()
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster's session names no folder that all executors see."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: ``spark.checkpoint.dir`` if the session has one, else one of our own (tests only)."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for cut lineage: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a local master gets a folder of its own, removed at exit; on a cluster that is an error, since each
+    executor would write to its own disk.
+    """
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if given:
         return given
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="quern-")
@@ -39,12 +51,29 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Tables that were cut and are still there.
+CUT: list[str] = []
+
+
+def stored(df: DataFrame) -> str:
+    """Write ``df`` as a table in the shared folder; its path."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    CUT.append(path)
+    df.write.parquet(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: its lineage ends there, and it survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df))
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that were cut so far; to be called once nothing that was built on them is read any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    while CUT:
+        p = spark._jvm.org.apache.hadoop.fs.Path(CUT.pop())
+        p.getFileSystem(conf).delete(p, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.urls import page_file
@@ -24,6 +24,39 @@ def recipe_record(df: DataFrame) -> DataFrame:
     return df.select(*[one(c) for c in order])
 
 
+def _moved(spark: SparkSession, a: str, b: str) -> None:
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    source, target = path(a), path(b)
+    fs = source.getFileSystem(conf)
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"{a} can't be renamed to {b}")
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Put ``df`` in the place of the table at ``path``, which it may have been read from.
+
+    It is written whole beside it (``.next``); then the old table steps aside (``.last``), the new one takes its name, and the old one goes. After
+    a crash at any point ``recovered`` gives a whole table, the old or the new.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    recovered(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}.next")
+    if exists(spark, path):
+        _moved(spark, path, f"{path}.last")
+    _moved(spark, f"{path}.next", path)
+    last = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.last")
+    last.getFileSystem(spark._jsc.hadoopConfiguration()).delete(last, True)
+
+
+def recovered(spark: SparkSession, path: str) -> str:
+    """``path``, with its last table back in place where a crash left none."""
+    path = path.rstrip("/")
+    if not exists(spark, path) and exists(spark, f"{path}.last"):
+        _moved(spark, f"{path}.last", path)
+    return path
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A folder of JSON lines, in parallel; null fields are left out of a line."""
     df.write.mode(mode).json(path)

@@ -48,13 +48,28 @@ class MultistreamReader(DataSourceReader):
     def partitions(self) -> list[Blocks]:
         return [Blocks(self.spans[k : k + self.per]) for k in range(0, len(self.spans), self.per)]
 
-    def read(self, partition: Blocks) -> Iterator[tuple[int, str]]:
-        with open(self.path, "rb") as f:
+    def read(self, partition: Blocks) -> Iterator[tuple[int, str | None, str | None]]:
+        with opened(self.path) as f:
             for start, end in partition.spans:
-                try:
-                    yield start, read_block(f, start, end)
-                except (OSError, EOFError) as e:
-                    print(f"block at {start}: {e}")
+                yield start, *try_block(f, start, end)
+
+
+def opened(path: str):
+    """A file that can be read from any place: of a file system by its address (``hdfs://``, ``s3://``, ``gs://``, ``file://``), or a local path."""
+    if "://" in path or path.startswith("file:"):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+        return system.open_input_file(inner)
+    return open(path, "rb")
+
+
+def try_block(f, start: int, end: int | None) -> tuple[str | None, str | None]:
+    """(block, error): one of them is null."""
+    try:
+        return read_block(f, start, end), None
+    except (OSError, EOFError, ValueError) as e:
+        return None, f"{type(e).__name__}: {e}"
 
 
 def read_block(f, start: int, end: int | None) -> str:
@@ -73,39 +88,38 @@ def read_block(f, start: int, end: int | None) -> str:
 
 
 class Multistream(DataSource):
-    """``spark.read.format("multistream")``: options path, offsets (comma-separated, ascending), end, blocksPerPartition."""
+    """``spark.read.format("multistream")``: options path, offsets (comma-separated, ascending), end, blocksPerPartition.
+
+    For offsets that fit an option; those of a whole dump are a frame, see ``read_offsets``. A block that can't be read has an ``error``.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "multistream"
 
     def schema(self) -> StructType:
-        return StructType([StructField("wiki_offset", LongType()), StructField("block", StringType())])
+        return StructType([StructField("wiki_offset", LongType()), StructField("block", StringType()), StructField("error", StringType())])
 
     def reader(self, schema: StructType) -> MultistreamReader:
         return MultistreamReader(dict(self.options))
 
 
 def read_offsets(offsets: DataFrame, path: str) -> DataFrame:
-    """(wiki_offset, block) of a dump for a frame of distinct ``wiki_offset``: sorted ranges of offsets are read by one task each.
+    """(wiki_offset, block, error) of a dump for a frame of ``wiki_offset``: sorted ranges of offsets are read by one task each.
 
-    The offsets never come to the driver; each task opens the dump once and reads its blocks in order of place.
+    The offsets never come to the driver; each task opens the dump once, on storage that all executors see, and reads its blocks in
+    order of place. A block that can't be read is null and has its error.
     """
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(path, "rb") as f:
+        with opened(path) as f:
             for b in batches:
-                out = []
-                for o in b["wiki_offset"]:
-                    try:
-                        out.append((int(o), read_block(f, int(o), None)))
-                    except (OSError, EOFError) as e:
-                        print(f"block at {o}: {e}")
-                yield pd.DataFrame(out, columns=["wiki_offset", "block"]).astype({"wiki_offset": "int64"})
+                out = [(int(o), *try_block(f, int(o), None)) for o in b["wiki_offset"]]
+                yield pd.DataFrame(out, columns=["wiki_offset", "block", "error"]).astype({"wiki_offset": "int64"})
 
     spread = offsets.where("wiki_offset IS NOT NULL").select(F.col("wiki_offset").cast("long").alias("wiki_offset")).distinct()
-    return spread.repartitionByRange("wiki_offset").sortWithinPartitions("wiki_offset").mapInPandas(run, "wiki_offset long, block string")
+    return spread.repartitionByRange("wiki_offset").sortWithinPartitions("wiki_offset").mapInPandas(run, "wiki_offset long, block string, error string")
 
 
 def block_pages(blocks: DataFrame) -> DataFrame:

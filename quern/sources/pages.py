@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from quern.config import MAX_RETRIES
 from quern.functions.urls import file_to_url, is_sitemap_recipe, slashes
@@ -84,22 +83,21 @@ def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
     return _locs(spark, path, "sitemap")
 
 
-def _locs(spark: SparkSession, path: str, tag: str) -> DataFrame:
+def _locs(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", tag).schema("loc string").load(path).select(F.trim("loc").alias("loc")).where("loc IS NOT NULL")
 
 
 def sitemap_recipes(spark: SparkSession, path: str, child: Callable[[str], str] = str) -> DataFrame:
     """(url): the distinct recipe pages of a sitemap, or of the sitemaps of an index that can be read.
 
-    ``child`` maps an index's entries to paths; an index has at most 50,000 entries by its standard, so they come to the driver.
+    ``child`` maps an index's entries to paths. An index is one file, of 50,000 entries by its standard, so its entries come to the
+    driver; those that are there are read in one load.
     """
-    parts = [r[0] for r in read_sitemap_index(spark, path).limit(50_000).collect()]
-    found = read_sitemap(spark, path)
-    for p in parts:
-        try:
-            found = found.unionByName(read_sitemap(spark, child(p)))
-        except (MissingInput, AnalysisException) as e:
-            print(f"sitemap {p}: {e}")
+    parts = [child(r[0]) for r in read_sitemap_index(spark, path).collect()]
+    there = [p for p in parts if exists(spark, p)]
+    for p in set(parts) - set(there):
+        print(f"sitemap {p}: not there")
+    found = _locs(spark, [need(spark, path), *there], "url")
     return found.where(is_sitemap_recipe("loc")).select(F.col("loc").alias("url")).distinct()
 
 
