@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.config import FIELD_BOOSTS, FIELD_TOP_K
 from quern.functions.text import blank, excerpt, tokenize_unicode
+from quern.session import cut
 
 # The parameters of BM25.
 K1, B = 1.2, 0.75
@@ -28,8 +29,16 @@ def field_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "doc_id").agg(F.max("length").alias("length")).groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("avg_length"))
 
 
+def idf(df: Column, docs: Column) -> Column:
+    return F.log(1 + (docs - df + 0.5) / (df + 0.5))
+
+
+def saturation(tf: Column, length: Column, avg: Column) -> Column:
+    return tf / (tf + K1 * (1 - B + B * length / avg))
+
+
 def bm25(tf: Column, df: Column, length: Column, docs: Column, avg: Column) -> Column:
-    return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf / (tf + K1 * (1 - B + B * length / avg))
+    return idf(df, docs) * saturation(tf, length, avg)
 
 
 def term_scores(postings: DataFrame, terms: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
@@ -52,10 +61,13 @@ class Clause:
     words: tuple[str, ...]
     field: str | None = None
     occur: str = "should"  # must, not
-    kind: str = "term"  # phrase, wildcard, fuzzy, range, group
+    kind: str = "term"  # phrase, wildcard, regex, fuzzy, range, group, all
     boost: float = 1.0
     edits: int = 2
-    high: str = ""
+    slop: int = 0
+    pattern: str = ""
+    high: str | None = None
+    closed: tuple[bool, bool] = (True, True)
     parts: tuple[Clause, ...] = ()
 
 
@@ -64,7 +76,14 @@ LEXER = re.compile(
     (?P<op>AND|OR|NOT|&&|\|\|)(?=[\s(]|$)
     |(?P<sign>[+\-!])(?=\S)
     |(?P<close>\))(?:\^(?P<outer>\d+(?:\.\d+)?))?
-    |(?:(?P<field>\w+):)?(?:(?P<open>\()|"(?P<phrase>[^"]*)"|\[(?P<low>\S+)\s+TO\s+(?P<high>[^\s\]]+)\]|(?P<word>[^\s()"^~:]+))(?P<fuzzy>~(?P<edits>[012])?)?(?:\^(?P<boost>\d+(?:\.\d+)?))?
+    |(?:(?P<field>\w+):)?(?:
+        (?P<all>\*:\*)
+        |(?P<open>\()
+        |"(?P<phrase>(?:\\.|[^"\\])*)"
+        |(?P<from>[\[{])\s*(?P<low>(?:\\.|[^\s\]}\\])+)\s+TO\s+(?P<high>(?:\\.|[^\s\]}\\])+)\s*(?P<to>[\]}])
+        |/(?P<regex>(?:\\.|[^/\\])+)/
+        |(?P<word>(?:\\.|[^\s()"^~:\[\]{}\\])+)
+    )(?P<fuzzy>~(?P<edits>[\d.]+)?)?(?:\^(?P<boost>\d+(?:\.\d+)?))?
     )""",
     re.X,
 )
@@ -74,10 +93,32 @@ class BadQuery(ValueError):
     """The query isn't in the language."""
 
 
+def plain(s: str) -> str:
+    """Without the backslashes of escapes."""
+    return re.sub(r"\\(.)", r"\1", s)
+
+
+def wildcard(s: str) -> str | None:
+    """The pattern of a word with ``*`` or ``?``, escaped ones standing for themselves; None without any."""
+    parts = re.findall(r"\\.|.", s)
+    if not any(x in "*?" for x in parts):
+        return None
+    return "".join(".*" if x == "*" else "." if x == "?" else re.escape(x[-1].lower()) for x in parts)
+
+
+def whole_number(m: re.Match, most: int | None) -> int:
+    n = m["edits"] or "2"
+    if not n.isdigit() or (most is not None and int(n) > most):
+        raise BadQuery(f"{n} isn't a whole number{f' up to {most}' if most else ''}")
+    return int(n)
+
+
 def parse_query(query: str) -> list[Clause]:
-    """Clauses of a query: words, "phrases", ``field:``, AND OR NOT + -, ``pre*``, ``w?ld*``, ``fuzzy~1``, ``[a TO b]``, ``^boost``, groups.
+    """Clauses of a query: words, "phrases", "near words"~3, ``field:``, AND OR NOT + -, ``pre*``, ``w?ld*``, ``/regex/``, ``fuzzy~1``, ``[a TO b]``, ``{a TO b}``,
+    ``[a TO *]``, ``*:*``, ``^boost``, groups, and backslashes before signs that stand for themselves.
 
-    Words side by side are joined by OR. A group in parentheses is a query of its own, with its field and boost for all in it.
+    Words side by side are joined by OR. A group in parentheses is a query of its own, with its field and boost for all in it. What
+    the language doesn't have raises ``BadQuery``.
     """
     levels: list[tuple[list[Clause], dict]] = [([], {})]
     at, occur = 0, "should"
@@ -110,18 +151,35 @@ def parse_query(query: str) -> list[Clause]:
         field = m["field"] or next((x["field"] for _, x in reversed(levels) if x.get("field")), None)
         base = {"field": field, "occur": occur, "boost": float(m["boost"] or 1)}
         occur = "should"
+        if m["fuzzy"] and not (m["word"] or m["phrase"] is not None):
+            raise BadQuery("~ follows a word or a phrase")
         if m["open"]:
             levels.append(([], base))
+        elif m["all"]:
+            out.append(Clause((), kind="all", **base))
         elif m["low"]:
-            out.append(Clause((m["low"].lower(),), kind="range", high=m["high"].lower(), **base))
+            low, high = (None if x == "*" else plain(x).lower() for x in (m["low"], m["high"]))
+            out.append(Clause(() if low is None else (low,), kind="range", high=high, closed=(m["from"] == "[", m["to"] == "]"), **base))
+        elif m["regex"]:
+            pattern = m["regex"].replace("\\/", "/")
+            try:
+                re.compile(pattern)
+            except re.error as e:
+                raise BadQuery(f"/{pattern}/: {e}") from e
+            out.append(Clause((pattern,), kind="regex", pattern=pattern, **base))
+        elif m["word"] and (pattern := wildcard(m["word"])):
+            if m["fuzzy"]:
+                raise BadQuery("~ after a wildcard")
+            out.append(Clause((plain(m["word"]).lower(),), kind="wildcard", pattern=pattern, **base))
         elif m["fuzzy"] and m["word"]:
-            out.append(Clause((m["word"].lower(),), kind="fuzzy", edits=int(m["edits"] or 2), **base))
-        elif m["word"] and re.search(r"[*?]", m["word"]):
-            out.append(Clause((m["word"].lower(),), kind="wildcard", **base))
+            out.append(Clause((plain(m["word"]).lower(),), kind="fuzzy", edits=whole_number(m, 2), **base))
         else:
-            words = tuple(w for w in re.split(r"[\W_]+", (m["word"] or m["phrase"]).lower()) if w)
+            words = tuple(w for w in re.split(r"[\W_]+", plain(m["word"] or m["phrase"] or "").lower()) if w)
+            slop = whole_number(m, None) if m["fuzzy"] and m["edits"] else 0
+            if slop and len(set(words)) < len(words):
+                raise BadQuery("a word stands twice in a phrase with ~")
             if words:
-                out.append(Clause(words, kind="phrase" if len(words) > 1 else "term", **base))
+                out.append(Clause(words, kind="phrase" if len(words) > 1 else "term", slop=slop, **base))
     if len(levels) > 1:
         raise BadQuery("a parenthesis isn't closed")
     return levels[0][0]
@@ -129,46 +187,63 @@ def parse_query(query: str) -> list[Clause]:
 
 def _matches(c: Clause) -> Column:
     """Whether a posting's term can serve a clause."""
-    t, w = F.col("term"), c.words[0]
-    if c.kind == "wildcard":
-        pattern = "".join(".*" if x == "*" else "." if x == "?" else re.escape(x) for x in w)
-        return t.rlike(f"^{pattern}$")
+    t = F.col("term")
+    if c.kind in ("wildcard", "regex"):
+        return t.rlike(f"^(?:{c.pattern})$")
     if c.kind == "fuzzy":
+        w = c.words[0]
         return (F.abs(F.length(t) - len(w)) <= c.edits) & (F.levenshtein(t, F.lit(w), c.edits) >= 0)
     if c.kind == "range":
-        return (t >= w) & (t <= c.high)
+        low = F.lit(True) if not c.words else t >= c.words[0] if c.closed[0] else t > c.words[0]
+        return low & (F.lit(True) if c.high is None else t <= c.high if c.closed[1] else t < c.high)
     return t.isin(*c.words)
 
 
+def _serves(c: Clause, fields: list[str]) -> Column:
+    return _matches(c) & (F.col("field") == c.field if c.field else F.col("field").isin(*fields))
+
+
+def _leaves(clauses) -> list[Clause]:
+    return [x for c in clauses for x in (_leaves(c.parts) if c.kind == "group" else [c])]
+
+
 def _shift(positions: str, by: int) -> Column:
     return F.transform(F.col(positions), lambda p: p - by)
 
 
-def field_search(postings: DataFrame, docs: DataFrame, query: str, k: int = FIELD_TOP_K, fields: list[str] | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
+def field_search(postings: DataFrame, docs: DataFrame, query: str, k: int = FIELD_TOP_K, fields: list[str] | None = None, boosts: dict[str, float] | None = None, stats: DataFrame | None = None) -> DataFrame:
     """(rank, score, total_hits, doc_id and the columns of ``docs``): the ``k`` best documents for a query in the language of ``parse_query``.
 
-    Each field gives a clause the BM25 of its term times the field's boost; a document has the sum over fields and clauses. It must
+    Each field gives a clause the BM25 of its term times the field's boost, a phrase that of its occurrences with the rarity of all its words; a document has the sum over fields and clauses. It must
     hold every required clause in some field and no excluded one. Fields default to those with a boost; a clause's own field wins.
     Ties go to the lower doc_id. A query of excluded clauses only, and one without words, finds nothing; ``total_hits`` is exact.
+    The postings are read once, for those that any clause can use; ``stats`` are their ``field_stats``, if they are kept.
     """
     boosts = FIELD_BOOSTS if boosts is None else boosts
-    clauses = parse_query(query)
-    hits = _hits(postings, field_stats(postings), clauses, list(boosts) if fields is None else fields, boosts)
+    clauses, fields = parse_query(query), list(boosts) if fields is None else fields
+    served = None
+    for c in _leaves(clauses):
+        if c.kind != "all":
+            served = _serves(c, fields) if served is None else served | _serves(c, fields)
+    used = postings if served is None else cut(postings.where(served))
+    hits = _hits(used, field_stats(postings) if stats is None else stats, clauses, fields, boosts, docs)
     if hits is None:
         return docs.limit(0).select(F.lit(0).alias("rank"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("total_hits"), "*")
-    total = hits.agg(F.count(F.lit(1)).alias("total_hits")).withColumn("_one", F.lit(1))
+    hits = cut(hits)
     best = hits.orderBy(F.col("score").desc(), "doc_id").limit(k)
-    ranked = best.withColumn("rank", F.row_number().over(_one_window("score", "doc_id"))).withColumn("_one", F.lit(1)).join(total, "_one")
+    ranked = best.withColumn("rank", F.row_number().over(_one_window("score", "doc_id"))).withColumn("total_hits", F.lit(hits.count()).cast("long"))
     return ranked.join(docs, "doc_id").select("rank", "score", "total_hits", *docs.columns).orderBy("rank")
 
 
-def _hits(postings: DataFrame, stats: DataFrame, clauses: tuple[Clause, ...] | list[Clause], fields: list[str], boosts: dict[str, float]) -> DataFrame | None:
+def _hits(postings: DataFrame, stats: DataFrame, clauses: tuple[Clause, ...] | list[Clause], fields: list[str], boosts: dict[str, float], docs: DataFrame) -> DataFrame | None:
     """(doc_id, score) of the documents that satisfy the clauses, or None where no document can."""
     parts, must = [], 0
     for i, c in enumerate(clauses):
         if c.kind == "group":
-            rows = _hits(postings, stats, c.parts, fields, boosts)
+            rows = _hits(postings, stats, c.parts, fields, boosts, docs)
             rows = None if rows is None else rows.select("doc_id", (F.col("score") * c.boost).alias("_s"))
+        elif c.kind == "all":
+            rows = docs.select("doc_id", F.lit(c.boost).alias("_s"))
         else:
             rows = _leaf(postings, stats, c, fields, boosts)
         if rows is None:
@@ -191,23 +266,28 @@ def _leaf(postings: DataFrame, stats: DataFrame, c: Clause, fields: list[str], b
     boost = F.lit(1.0)
     for f, x in boosts.items():
         boost = F.when(F.col("field") == f, F.lit(float(x))).otherwise(boost)
-    rows = postings.where(_matches(c) & (F.col("field") == c.field if c.field else F.col("field").isin(*fields)))
+    rows = postings.where(_serves(c, fields))
     df = rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     rows = rows.join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # a row for each field
-    rows = rows.withColumn("_s", F.lit(c.boost) * boost * bm25(F.col("tf"), F.col("df"), F.col("length"), F.col("docs"), F.col("avg_length")))
-    if c.kind == "phrase":
-        starts = [_shift("positions", d) for d in range(len(c.words))]
-        shifted = F.lit(None).cast("array<int>")
-        for w in dict.fromkeys(c.words):
-            places = [starts[d] for d, x in enumerate(c.words) if x == w]
-            own = places[0]
-            for p in places[1:]:
-                own = F.array_intersect(own, p)
-            shifted = F.when(F.col("term") == w, own).otherwise(shifted)
-        per = rows.withColumn("_p", shifted).groupBy("field", "doc_id").agg(F.sum("_s").alias("_s"), F.collect_list("_p").alias("_ps"))
-        common = F.aggregate(F.slice("_ps", 2, len(c.words)), F.get("_ps", F.lit(0)), F.array_intersect)
-        rows = per.where((F.size("_ps") == len(set(c.words))) & (F.size(common) > 0))
-    return rows.select("doc_id", "_s")
+    if c.kind != "phrase":
+        return rows.select("doc_id", (F.lit(c.boost) * boost * bm25(F.col("tf"), F.col("df"), F.col("length"), F.col("docs"), F.col("avg_length"))).alias("_s"))
+    shifted, times = F.lit(None).cast("array<int>"), F.lit(0)
+    for w in dict.fromkeys(c.words):
+        places = [_shift("positions", d) for d, x in enumerate(c.words) if x == w]
+        own = places[0]
+        for p in places[1:]:
+            own = F.array_intersect(own, p)
+        shifted, times = F.when(F.col("term") == w, own).otherwise(shifted), F.when(F.col("term") == w, F.lit(len(places))).otherwise(times)
+    rows = rows.withColumn("_p", shifted).withColumn("_i", times * idf(F.col("df"), F.col("docs")))
+    per = rows.groupBy("field", "doc_id").agg(F.sum("_i").alias("_i"), F.collect_list("_p").alias("_ps"), *[F.max(x).alias(x) for x in ("length", "avg_length")])
+    per = per.where(F.size("_ps") == len(set(c.words)))
+
+    def spread(m: Column) -> Column:  # how far the words' places lie apart from one of them on, as the phrase has them at 0
+        return F.array_max(F.transform("_ps", lambda a: F.coalesce(F.array_min(F.filter(a, lambda x: x >= m)), m + c.slop + 1))) - m
+
+    near = F.filter(F.transform(F.array_distinct(F.flatten("_ps")), spread), lambda n: n <= c.slop)
+    per = per.withColumn("_f", F.aggregate(near, F.lit(0.0), lambda acc, n: acc + 1 / (1 + n))).where("_f > 0")
+    return per.select("doc_id", (F.lit(c.boost) * boost * F.col("_i") * saturation(F.col("_f"), F.col("length"), F.col("avg_length"))).alias("_s"))
 
 
 def _one_window(score: str, tie: str):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.config import SIMILARITY
+from quern.config import MIN_ABSTRACT, SIMILARITY
 from quern.functions.text import clean_title, title_tokens
-from quern.functions.wiki import wiki_section, wiki_url
+from quern.functions.wiki import wiki_abstract, wiki_section, wiki_url
 from quern.operators.index import latest
 from quern.sources.dump import block_pages, first_pages, read_offsets
 
@@ -92,6 +92,20 @@ def enrich(links: DataFrame, dump: str | None, block_first_page: bool = False) -
     return links.drop("wiki_description").join(found, keys, "left").select(*[c for c in links.columns if c != "wiki_description"], "wiki_description")
 
 
+def abstracts(links: DataFrame, dump: str, limit: int | None = None, least: int = MIN_ABSTRACT) -> DataFrame:
+    """``links`` with the abstracts of their pages as ``wiki_description``; with ``limit`` the first so many by url only.
+
+    An abstract is the first line of an article's text, null where it begins with an infobox or is shorter than ``least``. Links
+    without page stay with what description they have.
+    """
+    if limit is not None:
+        links = links.orderBy("recipe_url").limit(limit)
+    pages = block_pages(read_offsets(links.select("wiki_offset").where("wiki_offset IS NOT NULL"), dump))
+    found = pages.select("wiki_offset", "page_id", wiki_abstract("xml", least).alias("_a")).groupBy("wiki_offset", "page_id").agg(F.min("_a").alias("_a"))
+    out = links.join(found, ["wiki_offset", "page_id"], "left")
+    return out.select(*[F.when(F.col("wiki_offset").isNotNull(), F.col("_a")).otherwise(F.col(c)).alias(c) if c == "wiki_description" else F.col(c) for c in links.columns])
+
+
 def match_rate(links: DataFrame) -> DataFrame:
     """One row: links in all, with a page, with a description, pages used, and the share described in per cent (null for none)."""
     n = F.count(F.lit(1))

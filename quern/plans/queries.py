@@ -13,7 +13,7 @@ from quern.functions import wiki as W
 from quern.functions.markdown import html_to_markdown, md_title, short_units, valid_difficulty
 from quern.functions.tokens import token_count
 from quern.operators import crawl, extract, fields, index, link, search, stats, units
-from quern.session import cut, load
+from quern.session import cut, load, spread
 from quern.sinks.files import result_lines
 from quern.sources.dump import parse_index
 
@@ -61,7 +61,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Language-model tokens by source of the documents; the tokenizer is no SQL function."""
-    return load(spark, d, "documents").select("source", token_count("text").alias("n")).groupBy("source").agg(F.sum("n").alias("tokens"))
+    return spread(load(spark, d, "documents"), "doc_id").select("source", token_count("text").alias("n")).groupBy("source").agg(F.sum("n").alias("tokens"))
 
 
 def _search(spark: SparkSession, d: str, method: str) -> DataFrame:
@@ -212,7 +212,7 @@ def wiki_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wiki_abstracts(spark: SparkSession, d: str) -> DataFrame:
-    """Abstracts of the pages' descriptions; the pattern looks ahead, which the SQL dialect's patterns can't."""
+    """Abstracts of the pages' descriptions."""
     pages = load(spark, d, "wiki_recipes").where("wiki_description <> ''").groupBy("page_id").agg(F.max("wiki_description").alias("t"))
     return pages.select("page_id", W.wiki_abstract(F.concat(F.lit("<text>"), F.col("t"), F.lit("</text>"))).alias("abstract"))
 
@@ -275,7 +275,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_quantities(spark, d)
 
 
-HELPERS = {"recipes", "postings", "queries", "cut", "load", "result_lines", "parse_index", "token_count", "html_to_markdown", "md_title", "short_units", "valid_difficulty"}
+HELPERS = {"recipes", "postings", "queries", "cut", "load", "spread", "result_lines", "parse_index", "token_count", "html_to_markdown", "md_title", "short_units", "valid_difficulty"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

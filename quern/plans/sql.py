@@ -28,8 +28,8 @@ EDGES = f"""{LINKS}, edges AS (SELECT DISTINCT url AS src_url, dst AS dst_url FR
   SELECT url, CASE WHEN link LIKE '#%' THEN url WHEN link LIKE '/%' THEN regexp_extract(url, '^https?://[^/]+') || link ELSE link END AS dst FROM links)
   WHERE regexp_extract(dst, '^https?://([^/]+)', 1) = regexp_extract(url, '^https?://([^/]+)', 1) AND NOT regexp_matches(lower(dst), '{SUFFIXES}') AND NOT contains(dst, '/search?'))"""
 WEB = "pages AS (SELECT url, max(html) AS html FROM raw_pages GROUP BY url), seeds AS (SELECT min(url) AS url FROM pages GROUP BY regexp_extract(url, '^https?://([^/:]+)', 1))"
-BFS = f"""{WEB}, {EDGES}, levels AS (
-  SELECT url, 0 AS depth FROM seeds UNION SELECT e.dst_url, l.depth + 1 FROM levels l JOIN edges e ON e.src_url = l.url WHERE l.depth < 6),
+BFS = f"""{WEB}, {EDGES}, levels(url, depth) USING KEY (url) AS (
+  SELECT url, 0 AS depth FROM seeds UNION SELECT DISTINCT e.dst_url, l.depth + 1 FROM levels l JOIN edges e ON e.src_url = l.url WHERE NOT EXISTS (SELECT 1 FROM recurring.levels r WHERE r.url = e.dst_url)),
 state AS (SELECT l.url, min(depth) AS depth, true AS visited, bool_or(p.url IS NOT NULL) AND regexp_full_match(l.url, 'https?://[^/]+/+recipes/+[^/?#]+/*([?#].*)?') AS downloaded FROM levels l LEFT JOIN pages p ON p.url = l.url GROUP BY l.url)"""
 WIKI_CLEAN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?s)<ref[^>]*>.*?</ref>', '', 'g'), '\\{{\\{{[^}}]*\\}}\\}}', '', 'g'), '\\[\\[(?:[^|\\]]*\\|)?([^\\]]+)\\]\\]', '\\1', 'g'), '''''''?([^'']+)''''''?', '\\1', 'g'), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')"
 FIELD_ROWS = f"""{RECIPES}, texts AS (
@@ -40,6 +40,20 @@ lengths AS (SELECT doc_id, field, count(*) AS length FROM words GROUP BY ALL),
 rows_ AS (SELECT field, w AS term, doc_id, count(*) AS tf, any_value(length) AS length FROM words JOIN lengths USING (doc_id, field) GROUP BY field, w, doc_id)"""
 
 
+FIELD_QUERY = f"""WITH {FIELD_ROWS}, places AS (SELECT doc_id, field, term, p FROM (SELECT doc_id, field, unnest(w) AS term, unnest(range(len(w))) AS p FROM (SELECT doc_id, field, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM texts WHERE t IS NOT NULL))),
+st AS (SELECT field, count(*) AS n, avg(length) AS a FROM lengths GROUP BY field), boosts(field, boost) AS (VALUES ('title', 3.0::DOUBLE), ('ingredients', 2.5), ('description', 1.5), ('method', 1.0), ('chef', 0.5)),
+idf AS (SELECT field, term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM rows_ JOIN st USING (field) GROUP BY field, term, n),
+phrases AS (SELECT x.doc_id, x.field, count(*) AS tf FROM places x JOIN places y ON x.doc_id = y.doc_id AND x.field = y.field AND y.p = x.p + 1 WHERE x.term = 'lemon' AND y.term = 'juice' GROUP BY ALL),
+parts AS (SELECT doc_id, field, CASE WHEN term = 'pork' THEN 5 WHEN starts_with(term, 'cinn') THEN 3 WHEN term = 'soup' THEN 1 ELSE 4 END AS clause, tf, idf, length, 1.0::DOUBLE AS b FROM rows_ JOIN idf USING (field, term)
+  WHERE (term = 'soup' AND field = 'title') OR starts_with(term, 'cinn') OR levenshtein(term, 'lentl') <= 1 OR term = 'pork'
+  UNION ALL SELECT doc_id, field, 2, tf, (SELECT sum(i.idf) FROM idf i WHERE i.field = p.field AND i.term IN ('lemon', 'juice')), length, 2.0 FROM phrases p JOIN lengths USING (doc_id, field)),
+hits AS (SELECT doc_id, sum(CASE WHEN clause = 5 THEN 0 ELSE b * boost * idf * tf / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / a)) END) AS s FROM parts JOIN st USING (field) JOIN boosts USING (field) GROUP BY doc_id
+  HAVING count(*) FILTER (WHERE clause = 1) > 0 AND count(*) FILTER (WHERE clause = 5) = 0)
+SELECT rank, round(s, 6) AS score, total_hits, doc_id, title, CASE WHEN length(d) > 150 THEN substring(d, 1, 150) || '...' ELSE d END AS description, chef
+FROM (SELECT (row_number() OVER (ORDER BY s DESC, doc_id))::INT AS rank, s, count(*) OVER () AS total_hits, h.doc_id, title, coalesce(description, '') AS d, chef FROM hits h JOIN recipes_ ON url = h.doc_id) WHERE rank <= 10"""
+START = "'(?s)^[{|\\n]*([^{|\\n][^\\n]*?)(?:==|[\\n\\r\\x{85}\\x{2028}\\x{2029}]|$)'"
+
+
 def _search(idf: str) -> str:
     terms = "(VALUES ('chicken', 1), ('lemon', 1), ('soup', 2)) q(term, times)"
     return f"""WITH {TOKENS}, n AS (SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM tf), df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
@@ -98,6 +112,8 @@ SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY s DE
         "prep_time_parse": "SELECT DISTINCT url, trim(regexp_replace(coalesce(regexp_replace(regexp_replace(prep_time, '(?i)\\bMINS?\\b', 'min', 'g'), '(?i)\\bHRS?\\b', 'hr', 'g'), ''), '\\s+', ' ', 'g')) AS prep_time FROM recipes",
         "wikitext_clean": f"SELECT page_id, trim({WIKI_CLEAN.format('max(wiki_description)')}) AS clean FROM wiki_recipes WHERE wiki_description <> '' GROUP BY page_id",
         "wiki_sections": f"SELECT page_id, nullif(trim({WIKI_CLEAN.format('s')}), '') AS section FROM (SELECT page_id, regexp_extract('<text>intro' || chr(10) || '== About ==' || chr(10) || max(wiki_description) || chr(10) || '</text>', '(?s)={{2,}}\\s*([^=\\n]+?)\\s*={{2,}}\\s*(.*?)(?:={{2,}}|</text>)', 2) AS s FROM wiki_recipes WHERE wiki_description <> '' GROUP BY page_id)",
+        "wiki_abstracts": f"SELECT page_id, CASE WHEN NOT starts_with(t, '{{{{Infobox') AND NOT starts_with(t, '{{{{Short description') AND regexp_matches(t, {START}) AND length(c) >= 50 THEN c END AS abstract FROM (SELECT page_id, t, trim({WIKI_CLEAN.format('s')}) AS c FROM (SELECT page_id, t, regexp_extract(t, {START}, 1) AS s FROM (SELECT page_id, max(wiki_description) || '</text>' AS t FROM wiki_recipes WHERE wiki_description <> '' GROUP BY page_id)))",
+        "field_query": FIELD_QUERY,
         "wiki_url": f"SELECT DISTINCT page_id, {wiki} || replace(wiki_title, ' ', '_') AS wiki_url FROM dump_index",
         "field_terms": f"WITH {FIELD_ROWS} SELECT field, term, doc_id, tf, length::INT AS length FROM rows_",
         "field_bm25": f"""WITH {FIELD_ROWS}, st AS (SELECT field, count(*) AS n, avg(length) AS a FROM lengths GROUP BY field), asked AS (SELECT * FROM rows_ WHERE term IN ('lemon', 'soup')), df AS (SELECT field, term, count(*) AS df FROM asked GROUP BY ALL),

@@ -85,6 +85,16 @@ def write_single_jsonl(df: DataFrame, path: str) -> None:
         fs.delete(parts, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file, on any storage of the session."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def save_pages(pages: DataFrame, path: str) -> DataFrame:
     """Append pages (url, html) that the table at ``path`` doesn't have yet, one per url; gives the rows that were new."""
     spark = pages.sparkSession
@@ -105,6 +115,19 @@ def write_index(postings: DataFrame, docs: DataFrame, stats: DataFrame, path: st
     stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
+def write_fields(postings: DataFrame, stats: DataFrame, docs: DataFrame, path: str) -> None:
+    """A full-text index as three tables: postings sorted by field and term, so a query's terms prune files and row groups; statistics; documents."""
+    postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
+
+
+def export_index(maps: DataFrame, docs: DataFrame, stats: DataFrame, path: str) -> None:
+    """The index as three files of JSON lines for other programs: ``index.jsonl`` (term, document_frequency, postings as a map), ``mapping.jsonl``, ``stats.jsonl``."""
+    for df, name in ((maps, "index"), (docs, "mapping"), (stats, "stats")):
+        write_single_jsonl(df, f"{path.rstrip('/')}/{name}.jsonl")
+
+
 def result_lines(rank: Column, title: Column, score: Column, url: Column, details: dict[str, Column], digits: int = 4) -> Column:
     """A result as text: number and title, score, address, and the details that aren't empty, parted by bars."""
     shown = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k}: "), v)) for k, v in details.items()]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import bz2
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from quern import session
 from quern.functions.text import tokenize_index
 from quern.operators import crawl, extract, fields, index, link, search, stats
 from quern.plans import pipeline
@@ -196,6 +198,26 @@ def test_query_language():
             fields.parse_query(bad)
 
 
+def test_query_language_in_full():
+    one = lambda q: fields.parse_query(q)[0]
+    assert one('"a b"~3').slop == 3 and one('title:"a b"~3^2').boost == 2.0 and one(r"a\:b").words == ("a", "b") and one(r"a\*").kind == "term"
+    assert one("{a TO b}").closed == (False, False) and one("[a TO b}").closed == (True, False) and one("[* TO b]").words == () and one("[a TO *]").high is None
+    assert one("/sou.*/").pattern == "sou.*" and one("*:*^2").kind == "all" and one(r"t:a\*b*").pattern == r"a\*b.*" and one("a~").edits == 2
+    for bad in ("{a TO b", "a~3", "a~0.8", "a]", "/(/", "a:b:c", '"a a"~2', "(a)~2", "a*~1", "~a"):
+        with pytest.raises(fields.BadQuery):
+            fields.parse_query(bad)
+
+
+def test_slop_ranges_and_patterns_against_hand_made_rows(spark):
+    docs = spark.createDataFrame([("1", "red big fat hen"), ("2", "hen red"), ("3", "red hen"), ("4", None), ("5", "red red a b c hen")], "doc_id string, t string")
+    p = fields.field_postings(docs, "doc_id", ["t"])
+    run = lambda q: {r["doc_id"]: r["score"] for r in fields.field_search(p, docs, q, boosts={"t": 1.0}).collect()}
+    assert set(run('"red hen"')) == {"3"} and set(run('"red hen"~1')) == {"3"} and set(run('"red hen"~2')) == {"1", "2", "3"} and set(run('"red hen"~3')) == {"1", "2", "3", "5"}
+    assert run('"red hen"~2')["3"] > run('"red hen"~2')["2"] > 0
+    assert set(run("{big TO fat}")) == {"5"} and set(run("[big TO fat}")) == {"1", "5"} and set(run("{c TO hen]")) == {"1", "2", "3", "5"} and set(run("[fat TO *]")) == {"1", "2", "3", "5"}
+    assert set(run("/h.n/")) == {"1", "2", "3", "5"} and run("/h./") == {} and set(run("*:*")) == {"1", "2", "3", "4", "5"} and set(run("*:* -hen")) == {"4"}
+
+
 def test_field_search(spark):
     docs = spark.createDataFrame([("1", "Duck soup", ["water", "duck"]), ("2", "Soup", ["lemon juice"]), ("3", "Lemon tart", ["juice of lemon"])], "doc_id string, title string, ingredients array<string>")
     p = fields.field_postings(docs, "doc_id", ["title", "ingredients"])
@@ -226,10 +248,83 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert json.loads(open(p.export).read())["wiki_title"] == "Duck soup"
     assert [r["title"] for r in pipeline.run_search(spark, p, "duck", method="classic").collect()] == []  # one document: idf 0
     assert pipeline.load_index(spark, p.index)[2].first()["total_documents"] == 1
+    pipeline.run_fields(spark, p)
+    e = pipeline.run_field_search(spark, p, 'duck AND wiki_title:"duck soup"')
+    assert e["total_hits"] == 1 and e["results"][0]["wiki_description"] == "Hot." and "error" in pipeline.run_field_search(spark, p, "a]")
+    pipeline.run_export(spark, replace(p, export=str(tmp_path / "export")))
+    assert {json.loads(x)["term"] for x in open(tmp_path / "export" / "index.jsonl")} == {"duck", "soup"} and json.loads(open(tmp_path / "export" / "stats.jsonl").read())["total_documents"] == 1
+    said, asked = [], iter(["2", "duck", "change", "3", "quit"])
+    pipeline.run_repl(spark, p, ask=lambda _: next(asked), say=said.append)
+    assert said == ["No results."]
+    assert [r["wiki_description"] for r in pipeline.run_abstracts(spark, p, limit=1).collect()] == [None]
     counts = extract.extraction_counts(pages.read_html_dir(spark, str(html)), pipeline.run_extract(spark, p)).first()
     assert counts.asDict() == {"pages": 2, "records": 1, "skipped": 1, "failed": 0}
 
 
+def test_crawl_and_sitemap_stages(spark, tmp_path):
+    web = {"https://h.example": "<a href='/recipes/a'>a</a>", "https://h.example/recipes/a": "<p>A</p><a href='/recipes/b'>b</a>", "https://h.example/recipes/b": "<p>B</p>"}
+    web["https://h.example/robots.txt"] = "User-agent: *\nSitemap: https://h.example/s.xml"
+    web["https://h.example/s.xml"] = "<sitemapindex><sitemap><loc>https://h.example/1.xml</loc></sitemap><sitemap><loc>https://h.example/gone.xml</loc></sitemap></sitemapindex>"
+    web["https://h.example/1.xml"] = "<urlset><url><loc>https://h.example/recipes/b</loc></url><url><loc>https://h.example/recipes/c</loc></url></urlset>"
+
+    def get(url):
+        if url not in web:
+            raise OSError("not found")
+        return web[url]
+
+    p = pipeline.Paths(html_table=str(tmp_path / "pages"), state=str(tmp_path / "state"), seed="https://h.example")
+    first = rows(pipeline.run_crawl(spark, p, get, max_depth=1, polite=0).select("url", "visited"))
+    assert sum(v for _, v in first) == 1
+    done = rows(pipeline.run_crawl(spark, p, get, polite=0).select("url", "depth"))
+    assert sorted(done) == [("https://h.example", 0), ("https://h.example/recipes/a", 1), ("https://h.example/recipes/b", 2)]
+    saved = lambda: {r["url"] for r in spark.read.parquet(p.html_table).collect()}
+    assert saved() == {"https://h.example/recipes/a", "https://h.example/recipes/b"}
+    web["https://h.example/recipes/c"] = "<p>C</p>"
+    got = dict(rows(pipeline.run_sitemap(spark, p, get, drop_extra=True, polite=0)))
+    assert got == {"https://h.example/recipes/a": "extra", "https://h.example/recipes/b": "both", "https://h.example/recipes/c": "missing"}
+    assert saved() == {"https://h.example/recipes/b", "https://h.example/recipes/c"}
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.replace_table(spark.range(3), path)
+    files.replace_table(spark.read.parquet(path).where("id > 0"), path)  # reads what it replaces
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "t.last").exists() and not (tmp_path / "t.next").exists()
+    (tmp_path / "t").rename(tmp_path / "t.last")  # a crash after the old table stepped aside
+    assert spark.read.parquet(files.recovered(spark, path)).count() == 2
+    with pytest.raises(ValueError):
+        crawl.crawl(spark.createDataFrame([], "url string, html string"), spark.createDataFrame([], "url string"), state=spark.createDataFrame([], "url string, visited boolean, downloaded boolean"))
+
+
+def test_cutting_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}  # has get
+
+    with pytest.raises(session.NoSharedFolder):
+        session.shared_dir(Session())
+    Context.getCheckpointDir = lambda self: "hdfs://shared"
+    assert session.shared_dir(Session()) == "hdfs://shared"
+    df = session.cut(spark.range(3))
+    assert df.count() == 3
+    path = session.CUT[-1]
+    session.release(spark)
+    assert not session.CUT and not pages.exists(spark, path)
+
+
+def test_blocks_that_cant_be_read_say_why(spark, tmp_path):
+    path = tmp_path / "d.bz2"
+    path.write_bytes(bz2.compress(b"<page><title>A</title><id>1</id></page>"))
+    got = dump.read_offsets(spark.createDataFrame([(0,), (5,)], "wiki_offset long"), f"file://{path}").collect()
+    assert {r["wiki_offset"]: (r["block"] is None, bool(r["error"])) for r in got} == {0: (False, False), 5: (True, True)}
+    assert rows(dump.block_pages(dump.read_offsets(spark.createDataFrame([(0,), (5,)], "wiki_offset long"), str(path))).select("page_id")) == [(1,)]
+
+
 def test_stream_keeps_the_last_version(spark, tmp_path):
     from datetime import datetime
 
