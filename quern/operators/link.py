@@ -9,6 +9,7 @@ from quern.config import MIN_ABSTRACT, SIMILARITY
 from quern.functions.text import clean_title, title_tokens
 from quern.functions.wiki import wiki_abstract, wiki_section, wiki_url
 from quern.operators.index import latest
+from quern.operators.joins import grid_join
 from quern.sources.dump import block_pages, first_pages, read_offsets
 
 
@@ -29,11 +30,12 @@ def exploded(df: DataFrame, key: str) -> DataFrame:
 def candidate_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """(left_id, left_title, left_tokens, token, right_id, right_title, right_tokens): a row for each token that two titles share.
 
-    An equi-join on the token. Tokens that many titles have are split by adaptive execution on the side that is large there.
+    An equi-join on the token; tokens that many titles have are split over tasks on both sides. No token can be left out: titles that share
+    only a frequent one may be alike.
     """
     a = exploded(left, left_key).select(F.col("_k").alias("left_id"), F.col("_c").alias("left_title"), F.col("_t").alias("left_tokens"), "token")
     b = exploded(right, right_key).select(F.col("_k").alias("right_id"), F.col("_c").alias("right_title"), F.col("_t").alias("right_tokens"), "token")
-    return a.join(b, "token")
+    return grid_join(a, b, "token")
 
 
 def scored_pairs(pairs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quern.config import TOP_K
 from quern.functions.text import tokenize_query
 from quern.operators.index import document_frequencies
+from quern.operators.joins import grid_join
+from quern.session import cut
 
 
 def classic_idf(n: Column, df: Column) -> Column:
@@ -24,19 +26,28 @@ def idf(method: str, n: Column, df: Column) -> Column:
     return classic_idf(n, df) if method == "classic" else robertson_idf(n, df)
 
 
+#: Rows (query, term) up to which queries are broadcast to the postings.
+BROADCAST = 500_000
+
+
 def score_queries(postings: DataFrame, total: Column | int, queries: DataFrame, k: int = TOP_K, method: str = "robertson") -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` best documents of each query of (query_id, query).
 
     A document that has any of a query's terms scores the sum of tf times idf over the query's tokens, repeated ones counting
     again; only positive scores are kept. Ties go to the lower doc_id. Queries without known terms have no rows. Only postings
-    of terms that are asked for are counted and scored: the queries' terms meet them in a semi-join first, which Spark makes a
-    broadcast or, over many queries, a shuffle. The ranking keeps ``k`` rows a task before it shuffles.
+    of terms that are asked for are counted and scored. Postings are dealt by document and the queries' terms come to them, up to
+    ``BROADCAST`` rows; so pairs of query and document are summed where they arise, and only ``k`` of a task and query are shuffled. More queries than
+    that meet the postings by term, where a term that many documents and queries have is split over tasks on both sides.
     """
-    terms = queries.select("query_id", F.explode(tokenize_query("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    terms = cut(queries.select("query_id", F.explode(tokenize_query("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")))
+    few = terms.count() <= BROADCAST
+    known = terms.select("term").distinct()
+    asked = postings.join(F.broadcast(known) if few else known, "term", "left_semi")
     n = total if isinstance(total, Column) else F.lit(float(total))
     weights = document_frequencies(asked).select("term", idf(method, n.cast("double"), F.col("document_frequency").cast("double")).alias("idf"))
-    scored = asked.join(weights, "term").join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("times")).alias("score"))
+    weighted = terms.join(weights, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("weight"))
+    pairs = asked.repartition("doc_id").join(F.broadcast(weighted), "term") if few else grid_join(asked, cut(weighted), "term")
+    scored = pairs.groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("weight")).alias("score"))
     ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())))
     return ranked.where(F.col("rank") <= k)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern import session
 from quern.functions.text import tokenize_index
-from quern.operators import crawl, extract, fields, index, link, search, stats
+from quern.operators import crawl, extract, fields, index, joins, link, search, stats
 from quern.plans import pipeline
 from quern.sinks import files
 from quern.sources import dump, pages
@@ -184,6 +184,21 @@ def test_fetch_retries(spark):
     assert got == {"a": ("page a", None), "bad": (None, "OSError: down")}
 
 
+def test_grid_join_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(joins, "CELL", 3)
+    a = spark.createDataFrame([("hot", k, None) for k in range(20)] + [("one", 1, "x"), ("left", 2, "x"), (None, 3, "x"), ("hot", 0, None)], "k string, a int, s string")
+    b = spark.createDataFrame([("hot", k) for k in range(11)] + [("one", 1), ("one", 1), ("right", 2), (None, 3)], "k string, b int")
+    assert rows(joins.grid_join(a, b, "k")) == rows(a.join(b, "k").select("k", "a", "s", "b")) and joins.grid_join(a.limit(0), b, "k").count() == 0
+
+
+def test_many_queries_meet_postings_by_term(spark, docs, monkeypatch):
+    p = index.term_counts(docs, "id", F.col("text"))
+    queries = spark.createDataFrame([(1, "soup lemon lemon"), (2, "duck cake"), (3, "nothing"), (4, "")], "query_id int, query string")
+    few = rows(search.score_queries(p, 5, queries, method="classic"))
+    monkeypatch.setattr(search, "BROADCAST", 0)
+    assert rows(search.score_queries(p, 5, queries, method="classic")) == few and len(few) > 3
+
+
 def test_query_language():
     c = fields.parse_query('a AND b NOT c title:"x y"^2 d* e~1 [f TO g] -h')
     assert [(x.words, x.occur, x.kind) for x in c] == [(("a",), "must", "term"), (("b",), "must", "term"), (("c",), "not", "term"), (("x", "y"), "should", "phrase"), (("d*",), "should", "wildcard"), (("e",), "should", "fuzzy"), (("f",), "should", "range"), (("h",), "not", "term")]
