@@ -83,6 +83,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold leaked words, without them; null where most of a document leaked."""
+    out = leak.remove_leaks(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "eval_items"))
+    return out.where("leaked_share > 0").select("doc_id", "clean_text", F.round("leaked_share", 6).alias("leaked_share"))
+
+
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_sources(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
 

@@ -9,12 +9,23 @@ TERMS = f"WITH {ROWS}, marks AS (SELECT term, tf AS occurrences, df AS documents
 TOP = """WITH best AS (SELECT recipe_url, page_id, max(match_score) AS match_score FROM wiki_recipes WHERE page_id IS NOT NULL AND match_score IS NOT NULL AND NOT isnan(match_score) GROUP BY ALL),
 ranked AS (SELECT *, (row_number() OVER (PARTITION BY recipe_url ORDER BY match_score DESC, page_id))::INT AS rank FROM best)"""
 
+# Words of texts whose characters have their compatibility form; that of others is no SQL function.
+WORDS = "SELECT {0}, unnest(w) AS w, unnest(range(len(w))) AS p, len(w) AS n FROM (SELECT {0}, regexp_extract_all(lower(regexp_replace(nfc_normalize(replace(text, '…', '...')), '[\\x{{AD}}\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL)"
+GRAM = "SELECT {0}, p, n, string_agg(w, ' ') OVER (PARTITION BY {0} ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS g, p + 10 <= n AS full_ FROM {1}"
+LEAKS = f"""WITH dw AS ({WORDS.format("doc_id", "documents")}), iw AS ({WORDS.format("item_id", "eval_items")}), dg AS ({GRAM.format("doc_id", "dw")}), ig AS ({GRAM.format("item_id", "iw")}),
+hits AS (SELECT doc_id, item_id, d.p AS dp, i.p AS ip, d.n FROM dg d JOIN ig i ON d.g = i.g WHERE d.full_ AND i.full_),
+runs AS (SELECT doc_id, item_id, max(n) AS n, count(*) + 9 AS run FROM (SELECT *, dp - row_number() OVER (PARTITION BY doc_id, item_id, dp - ip ORDER BY dp) AS island FROM hits) GROUP BY doc_id, item_id, dp - ip, island),
+covered AS (SELECT doc_id, item_id, count(DISTINCT dp + k) AS words FROM hits, range(10) r(k) GROUP BY ALL)
+SELECT doc_id, item_id, max(run)::INT AS longest, any_value(words)::INT AS words, max(n)::INT AS doc_words FROM runs JOIN covered USING (doc_id, item_id) GROUP BY ALL"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"WITH {ROWS} SELECT doc_id, term FROM (SELECT doc_id, term, round(tf * ln(n / df), 6) AS s FROM (SELECT r.doc_id, r.term, r.tf, df.df, n.n FROM rows_ r JOIN df USING (term), n WHERE df >= 2)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, term) <= 3",
         "p5_terms": f"{TERMS} SELECT * FROM marks",
         "p5_found": f"{TERMS} SELECT term, mark FROM marks WHERE mark IS NOT NULL",
+        "p8_leaks": LEAKS,
+        "p8_found": f"SELECT doc_id, item_id FROM ({LEAKS})",
         "p7_found": f"{TOP} SELECT recipe_url, page_id FROM ranked WHERE rank <= 3",
         "p7_ranked": f"{TOP} SELECT recipe_url, page_id, match_score, rank FROM ranked WHERE rank <= 3",
     }

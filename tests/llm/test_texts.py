@@ -116,13 +116,33 @@ def brute(docs, items, least):
 @pytest.mark.parametrize("most", [10**6, 40])
 def test_leaks_against_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(leak, "MAX_WORDS", most)
-    monkeypatch.setattr(leak.automata, "__defaults__", (most,))
     rng = random.Random(2)
     text = lambda n: " ".join(rng.choice("ab") for _ in range(n))
     items = [(k, text(rng.randrange(0, 25))) for k in range(20)] + [(None, text(20)), (77, None), (78, ""), (79, text(12)), (79, text(12))]
     docs = [(k, text(rng.randrange(0, 60))) for k in range(60)] + [(500, None), (None, text(30)), (501, ""), (1, text(30))]
     got = leak.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(0)), spark.createDataFrame(items, "item_id long, text string"), 6)
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == brute(docs, items, 6)
+    rows = got.collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == brute(docs, items, 6)
+    for r in rows:  # the longest run of this pair, whatever other items hold
+        runs = [common(leak.words(t or ""), leak.words(x or "")) for d, t in docs if d == r["doc_id"] for i, x in items if i == r["item_id"]]
+        assert r["longest"] == max(runs)
+
+
+def common(v: list[str], w: list[str]) -> int:
+    best, last = 0, [0] * (len(w) + 1)
+    for a in v:
+        row = [0] * (len(w) + 1)
+        for k, b in enumerate(w, 1):
+            if a == b:
+                row[k] = last[k - 1] + 1
+                best = max(best, row[k])
+        last = row
+    return best
+
+
+def test_an_item_has_its_own_longest_run(spark):
+    docs, items = spark.createDataFrame([(1, "x a b c d e y")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e"), (2, "c d e")], "item_id long, text string")
+    assert sorted((r["item_id"], r["longest"], r["words"]) for r in leak.find_leaks(docs, items, 3).collect()) == [(1, 5, 5), (2, 3, 3)]
 
 
 def test_leak_words():
