@@ -1,9 +1,10 @@
 """The main body of web pages, by a site style tree.
 
-The pages of a host are merged: for every style and content of a branch it is known on how many pages it stands. Content that
-recurs over pages has an even distribution, high entropy and low importance; branches whose children are all of one style say
-little by their presentation. Each page keeps the branch of highest importance, if that is high enough; then contents that
-the host's pages show mostly outside such branches are removed inside them too, and from texts cut from the pages.
+The pages of a host are merged into one tree: its nodes are the containers (elements that hold more than one line) by their path of
+styles from the body. Of a node the tree knows the styles in which the host's pages write under it, and on how many pages each content
+stands. Content that recurs over pages has an even distribution, high entropy and low importance, and links say little of their page; a node in which all is of one style says
+little by its presentation. Containers of low importance are removed from each page, at any depth, and short ones are judged by what
+they stand in; then contents that the host's pages show mostly in removed containers are removed elsewhere too, and from texts cut from the pages.
 """
 
 from __future__ import annotations
@@ -22,15 +23,18 @@ from quern.llm.markup import Node, TreeBuilder, visible
 from quern.llm.skew import hot_join
 from quern.session import cut
 
-LEAST_IMPORTANCE = 0.24  # of a branch that is kept
-SHORT = 200  # characters of no importance added to each branch: little text is little evidence
-LEAST_OUTSIDE = 0.2  # share of a content's pages that show it outside kept branches, from which it is boilerplate
+LEAST_IMPORTANCE = 0.4  # of a container that is kept
+SHORT = 200  # characters beside which a container is short: little text is little evidence, but for what it stands in
+WHOLE = 0.8  # important share of all that a container without lines of its own holds, from which it speaks for its parts
+PRESENTATION = 0.25  # part of the importance that needs varied styles
+STYLES = 8  # styles of equal use at which presentation is at its fullest
+LEAST_OUTSIDE = 0.2  # share of a content's pages that show it outside kept containers, from which it is boilerplate
 PRIOR = 3.0  # pages that the share over all hosts counts as beside a host's own
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 EDGES = re.compile(r"^[\s»«•·|\[\](){}→←*>–—-]+|[\s»«•·|\[\](){}→←*.…!>–—-]+$")
 TOKEN = re.compile(r"\w+|[^\w\s]")
 HEAD = 4  # tokens at the start of a content that may tell it, where what follows varies
-VARIED = 3  # tokens that follow a start outside kept branches, from which any may follow
+VARIED = 3  # tokens that follow a start outside kept containers, from which any may follow
 SURE = 12  # times that a content is seen inside only, from which its start doesn't count
 
 
@@ -79,53 +83,69 @@ def style(node: Node) -> str:
 
 
 def find(node: Node, tag: str) -> Node | None:
-    for c in node.children:
-        if isinstance(c, Node):
-            if c.tag == tag:
-                return c
-            if found := find(c, tag):
-                return found
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        if n.tag == tag:
+            return n
+        stack += [c for c in reversed(n.children) if isinstance(c, Node)]
     return None
 
 
-def texts(node: Node, path: str = "", heading: bool = False) -> Iterator[tuple[int, str, str, bool]]:
-    """(line, text, style path, whether in a heading) of all visible text under a node."""
-    for c in node.children:
-        if isinstance(c, tuple):
-            yield (*c, path, heading)
-        elif visible(c):
-            yield from texts(c, f"{path}/{style(c)}", heading or c.tag in HEADINGS)
+def wide(top: Node) -> set[int]:
+    """The ids of the visible elements under a node whose text stands on more than one line."""
+    span: dict[int, tuple[int, int]] = {}
+    stack: list[tuple[Node, bool]] = [(top, False)]
+    while stack:
+        n, done = stack.pop()
+        inner = [c for c in n.children if isinstance(c, Node) and visible(c)]
+        if not done:
+            stack.append((n, True))
+            stack += [(c, False) for c in inner]
+            continue
+        lines = [c[0] for c in n.children if isinstance(c, tuple)] + [x for c in inner for x in span.get(id(c), ())]
+        if lines:
+            span[id(n)] = (min(lines), max(lines))
+    return {k for k, (low, high) in span.items() if low < high}
 
 
-LEAVES = "url string, host string, line_no int, branch int, style string, heading boolean, content long, head long, next long, first boolean, n_chars int"
+LEAVES = "url string, host string, line_no int, node int, chain array<int>, path long, style long, heading boolean, content long, head long, next long, first boolean, n_chars int, n_linked int"
 
 
 def leaves_of(url: str, page: str) -> list[tuple]:
-    """A row for each visible line of a page: its branch, the style of its first text, its contents' hashes, whether new on the page."""
+    """A row for each visible line of a page: its container with those around it and their path, the style of its first text, its contents' hashes, whether new on the page."""
     host, site = site_of(url)
     tree = LineTree()
     tree.feed(page)
     tree.close()
     top = find(tree.root, "body") or tree.root
-    while True:  # wrappers that hold everything are no branches
-        inner = [c for c in top.children if isinstance(c, tuple) or (visible(c) and next(texts(c), None))]
-        if len(inner) != 1 or isinstance(inner[0], tuple):
-            break
-        top = inner[0]
+    containers = wide(top)
     lines: dict[int, list] = {}
-    for k, child in enumerate(inner):
-        found = [(*child, "", False)] if isinstance(child, tuple) else texts(child, "", child.tag in HEADINGS)
-        single = isinstance(child, tuple)
-        for line, text, path, heading in found:
-            row = lines.setdefault(line, [-1 if single else k, path, False, []])
-            row[2] |= heading
-            row[3].append(text)
+    number = 0
+    stack: list[tuple] = [(top, (0,), "", "", False, False)]
+    while stack:
+        n, chain, path, under, linked, heading = stack.pop()
+        if isinstance(n, tuple):
+            row = lines.setdefault(n[0], [chain, path, under, False, [], 0])
+            row[3] |= heading
+            row[4].append(n[1])
+            row[5] += len(n[1]) if linked else 0
+            continue
+        for c in reversed(n.children):
+            if isinstance(c, tuple):
+                stack.append((c, chain, path, under, linked, heading))
+            elif visible(c):
+                link, head = linked or c.tag == "a", heading or c.tag in HEADINGS
+                if id(c) in containers:
+                    number += 1
+                    stack.append((c, (*chain, number), f"{path}/{style(c)}", "", link, head))
+                else:
+                    stack.append((c, chain, path, f"{under}/{style(c)}", link, head))
     out, seen = [], set()
     for line in sorted(lines):
-        branch, path, heading, parts = lines[line]
-        text = " ".join(parts)
-        content, head, after = keys(text, site)
-        out.append((url, host, line, branch, path, heading, content, head, after, content not in seen, len(text)))
+        chain, path, under, heading, parts, linked = lines[line]
+        content, head, after = keys(" ".join(parts), site)
+        out.append((url, host, line, chain[-1], list(chain), hashed(path), hashed(under), heading, content, head, after, content not in seen, sum(map(len, parts)), linked))
         seen.add(content)
     return out
 
@@ -133,12 +153,13 @@ def leaves_of(url: str, page: str) -> list[tuple]:
 def page_leaves(pages: DataFrame) -> DataFrame:
     """The visible lines of each page (the latest fetch of a url; rows without url or html are left out)."""
     one = pages.where("url IS NOT NULL AND html IS NOT NULL").groupBy("url").agg(F.max_by("html", F.struct("fetched_at", F.xxhash64("html"))).alias("html"))
+    types = {"int": "int32", "long": "int64", "boolean": "bool"}
+    names = dict(c.split() for c in LEAVES.split(", "))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in LEAVES.split(", ")]
         for b in batches:
             rows = [r for u, h in zip(b["url"], b["html"]) for r in leaves_of(u, h)]
-            yield pd.DataFrame(rows, columns=names).astype({"line_no": "int32", "branch": "int32", "n_chars": "int32", "content": "int64", "head": "int64", "next": "int64"})
+            yield pd.DataFrame(rows, columns=list(names)).astype({c: types[t] for c, t in names.items() if t in types})
 
     return one.mapInPandas(run, LEAVES)
 
@@ -158,28 +179,70 @@ def text_leaves(texts_: DataFrame, url: str, text: str) -> DataFrame:
     return one.mapInPandas(run, "url string, host string, line_no int, content long, head long, next long")
 
 
-def kept_branches(leaves: DataFrame) -> DataFrame:
-    """(url, branch): the branch of each page whose importance is the highest and at least ``LEAST_IMPORTANCE``.
+def presentation(leaves: DataFrame) -> DataFrame:
+    """(host, path, varied): of each node of the tree the entropy of the styles of its lines over the host's pages, 1 at ``STYLES`` of equal use."""
+    per = leaves.groupBy("host", "path", "style").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n")
+    entropy = F.log(total.cast("double")) - F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / total
+    return per.groupBy("host", "path").agg(F.least(entropy / math.log(STYLES), F.lit(1.0)).alias("varied"))
+
+
+def importances(chains: list, chars: list, weights: list, varied: list) -> dict[int, float]:
+    """Importance of each container of a page, from those that have lines: the chain of containers to each, characters, important ones, presentation.
 
-    A line's importance is 1 less the entropy of its content over the host's pages, to the base of their number; a branch has the
-    mean of its lines' importances, weighted by length and drawn towards 0 where there is little text, times the entropy of
-    the styles in it (to the base of 8 styles).
-    Text straight under the body is in no branch.
+    From the outside in: a container's own lines have their share of important characters, less by what its presentation lacks, and less by their
+    shortness beside ``SHORT`` characters, for which the importance of what it stands in makes up. One without own lines has that of all it holds, if nearly ``WHOLE`` of that is
+    important, else that around it.
+    """
+    own = {c[-1]: (n, w, v) for c, n, w, v in zip(chains, chars, weights, varied)}
+    held: dict[int, list[float]] = {}
+    for c, n, w in zip(chains, chars, weights):
+        for k in c:
+            h = held.setdefault(k, [0.0, 0.0])
+            h[0] += n
+            h[1] += w
+    around = {k: c[i - 1] if i else None for c in chains for i, k in enumerate(c)}
+    out: dict[int, float] = {}
+    for k in sorted(around):  # a container's number is over that of what it stands in
+        prior = out[around[k]] if around[k] is not None else 0.0
+        if k in own:
+            n, w, v = own[k]
+            out[k] = w / max(n, 1.0) * (1 - PRESENTATION + PRESENTATION * v) * (n + SHORT * prior) / (n + SHORT)
+        else:
+            n, w = held[k]
+            share = w / max(n, 1.0)
+            out[k] = max(prior, share * n / (n + SHORT)) if share >= WHOLE else prior
+    return out
+
+
+def kept_nodes(leaves: DataFrame) -> DataFrame:
+    """(url, node): the containers of each page whose importance is ``LEAST_IMPORTANCE`` or more.
+
+    A line's importance is 1 less the entropy of its content over the host's pages, to the base of their number, for what of it isn't
+    linked. Importances of a page's containers are worked out from one row for each page; see ``importances``.
     """
     sizes = leaves.groupBy("host").agg(F.count_distinct("url").alias("pages"))
-    spread = cut(leaves.where("first").groupBy("host", "content").agg(F.count(F.lit(1)).alias("on")))
-    spread = hot_join(spread, sizes, ["host"], "inner").select("host", "content", (1 - F.log(F.col("on").cast("double")) / F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))).alias("weight"))
-    rows = hot_join(leaves.where("branch >= 0"), cut(spread), ["host", "content"])
-    per_style = rows.groupBy("url", "branch", "style").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") * F.col("n_chars")).alias("w"), F.sum("n_chars").alias("c"))
-    total = F.sum("n")
-    entropy = F.log(total.cast("double")) - F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / total
-    scored = per_style.groupBy("url", "branch").agg((entropy / math.log(8) * F.sum("w") / (F.sum("c") + SHORT)).alias("importance"))
-    best = scored.groupBy("url").agg(F.max(F.struct("importance", -F.col("branch"))).alias("_b"))
-    return best.where(F.col("_b.importance") >= LEAST_IMPORTANCE).select("url", (-F.col("_b.col2")).cast("int").alias("branch"))
+    on = cut(leaves.where("first").groupBy("host", "content").agg(F.count(F.lit(1)).alias("on")))
+    weight = 1 - F.log(F.col("on").cast("double")) / F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
+    weights = hot_join(on, sizes, ["host"], "inner").select("host", "content", weight.alias("weight"))
+    rows = hot_join(leaves.select("url", "host", "node", "chain", "path", "content", "n_chars", "n_linked"), weights, ["host", "content"])
+    rows = rows.groupBy("url", "host", "node", "path").agg(F.first("chain").alias("chain"), F.sum("n_chars").alias("chars"), F.sum(F.col("weight") * (F.col("n_chars") - F.col("n_linked"))).alias("weight"))
+    rows = hot_join(cut(rows), presentation(leaves), ["host", "path"], "inner")
+    per = rows.groupBy("url").agg(F.collect_list(F.struct("chain", F.col("chars").cast("double").alias("chars"), "weight", "varied")).alias("_c"))
+
+    @F.pandas_udf("array<int>")
+    def kept(containers: pd.Series) -> pd.Series:
+        out = []
+        for page in containers:
+            found = importances(*([x[c] for x in page] for c in ("chain", "chars", "weight", "varied")))
+            out.append([k for k, v in found.items() if v >= LEAST_IMPORTANCE])
+        return pd.Series(out, index=containers.index)
+
+    return per.select("url", F.explode(kept("_c")).alias("node"))
 
 
 def shares(leaves: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Of each ``key`` by host, and over all hosts: whether it is shown mostly outside the kept branches; ``leaves`` has ``inside``.
+    """Of each ``key`` by host, and over all hosts: whether it is shown mostly outside the kept containers; ``leaves`` has ``inside``.
 
     The share of a host is steadied by that over all hosts.
     """
@@ -192,7 +255,7 @@ def shares(leaves: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 def boilerplate_contents(leaves: DataFrame, contents: DataFrame) -> DataFrame:
     """(host, content) of those of ``contents`` (host, content, head, next; distinct) that are boilerplate.
 
-    The whole content decides where it is shown to be boilerplate, or ``SURE`` times inside kept branches only. For others their
+    The whole content decides where it is shown to be boilerplate, or ``SURE`` times inside kept containers only. For others their
     start does, if it stands before different contents outside, and the token after it is one that follows it there; any token may
     follow a start that has many there and is never seen inside.
     A content or start that a host's pages never show is judged by all hosts.
@@ -216,15 +279,16 @@ def boilerplate_contents(leaves: DataFrame, contents: DataFrame) -> DataFrame:
 def mark_lines(pages: DataFrame, texts_: DataFrame | None = None, url: str = "url", text: str = "description") -> DataFrame:
     """(field, url, line_no, boilerplate): every visible line of the pages (field ``html``) and of the texts (field ``text``'s name).
 
-    A page's line is kept if it is in the page's kept branch and its content isn't boilerplate there, or it is a heading there. On
-    pages without a branch of enough importance all lines are boilerplate. A text's line is boilerplate by its content alone,
+    A page's line is kept if it is in a kept container and its content isn't boilerplate there, or it is a heading there. On
+    pages without a container of enough importance all lines are boilerplate. A text's line is boilerplate by its content alone,
     as seen on its host's pages, or over all hosts where the host's pages never show it. Lines count from 0, parted by ``\\n``;
     lines without visible text have no row; scripts, styles, comments and hidden elements aren't visible. Null and empty pages
     and texts give nothing. Pages meet only in counts per host and content; no page, host or content is gathered in one task.
     """
     leaves = cut(page_leaves(pages))
-    kept = kept_branches(leaves).withColumn("_kept", F.lit(True))
-    placed = cut(leaves.join(kept, ["url", "branch"], "left").withColumn("inside", F.coalesce("_kept", F.lit(False))).drop("_kept"))
+    kept = kept_nodes(leaves).withColumn("_kept", F.lit(True))
+    lines = leaves.select("url", "host", "line_no", "node", "heading", "content", "head", "next")
+    placed = cut(lines.join(kept, ["url", "node"], "left").withColumn("inside", F.coalesce("_kept", F.lit(False))).drop("_kept", "node"))
     rows = None if texts_ is None else cut(text_leaves(texts_, url, text))
     names = ["host", "content", "head", "next"]
     contents = placed.select(*names) if rows is None else placed.select(*names).unionByName(rows.select(*names))

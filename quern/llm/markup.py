@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 #: Texts without any of these hold no markup; only texts that match are rendered.
 SUSPECT = r"[<&*_~`\\$\[{|]|(?m)^\s{0,3}(?:[-+] |>|#{1,6}\s|=+[^=])|(?m)^\s*(?:-{3,}|={3,})\s*$|''"
 
+DEPTH = 200  # elements inside each other from which further ones hold nothing: what would be in them stands beside them
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "head", "template", "noscript", "iframe", "object", "svg"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "tfoot", "thead", "tr", "ul"}
@@ -60,7 +61,7 @@ class TreeBuilder(HTMLParser):
                     break
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
-        if tag not in VOID and not (tag == "ref" and self.get_starttag_text().endswith("/>")):
+        if tag not in VOID and not (tag == "ref" and self.get_starttag_text().endswith("/>")) and len(self.open) < DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):

@@ -214,3 +214,42 @@ def test_split_frame(spark):
     assert split.split_texts(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         split.split_texts(df, 100, 50)
+
+
+def sections(n: int) -> list[tuple]:
+    """Pages whose main part is two containers: a title with paragraphs, and steps under a heading; a menu and a footer around them."""
+    rng = random.Random(6)
+    words_ = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(k))
+    out = []
+    for k in range(n):
+        lines = ["<html><body>", "<nav>", "<a href='/h'>Home</a>", "<a href='/s'>Shop</a>", "</nav>", "<section>", f"<h1>{words_(2)}</h1>", *(f"<p>{words_(6)}.</p>" for _ in range(6)), "</section>"]
+        lines += ["<section>", "<h2>Method</h2>", *(f"<p>{words_(6)}.</p>" for _ in range(6)), "</section>", "<ul>", *(f"<li><a href='/r/{j}'>{words_(2)}</a></li>" for j in range(3)), "</ul>", "<footer>", "<p>All rights reserved</p>", "<p>Write to us</p>", "</footer>", "</body></html>"]
+        out.append((f"https://two.example/{k}", None, "\n".join(lines), datetime(2022, 1, 1)))
+    return out
+
+
+def test_several_containers_are_kept_and_links_are_not(spark):
+    marks = boilerplate.mark_lines(spark.createDataFrame(sections(40), PAGE)).collect()
+    kept = {r["line_no"] for r in marks if not r["boilerplate"]}
+    assert kept == {*range(6, 13), *range(15, 22)} and len({(r["url"], r["line_no"]) for r in marks if not r["boilerplate"]}) == 40 * 14
+
+
+@pytest.mark.parametrize("wrapper", [("", ""), ("<div>\n<div>", "</div>\n</div>"), ("<main>\n<section>", "</section>\n</main>")])
+def test_text_straight_under_the_body_or_deep_in_it(spark, wrapper):
+    pages = []
+    for u, f, h, at in sections(40):
+        lines = [x for x in h.split("\n") if x not in ("<section>", "</section>")]
+        at_ = lines.index("</nav>") + 1
+        end = lines.index("<ul>")
+        pages.append((u, f, "\n".join([*lines[:at_], wrapper[0], *lines[at_:end], f"<ul>\n<li>eggs {lines[at_][5:21]}</li>\n<li>leek {u[-2:]} {lines[at_][4:20]}</li>\n</ul>", wrapper[1], *lines[end:]]), at))
+    marks = boilerplate.mark_lines(spark.createDataFrame(pages, PAGE)).collect()
+    text = {u: h.split("\n") for u, _, h, _ in pages}
+    kept = [text[r["url"]][r["line_no"]] for r in marks if not r["boilerplate"]]
+    assert len(kept) == 40 * 16 and not any("<a " in x or "rights" in x or "Write" in x for x in kept)
+
+
+def test_deep_and_broken_pages_are_read(spark):
+    deep = "<div>" * 3000 + "\nwords here\n" + "</div>" * 3000
+    marks = boilerplate.mark_lines(spark.createDataFrame([("https://d.example/1", None, deep, None), ("https://d.example/2", None, "</p><b>x\n<li>y</table>", None)], PAGE)).collect()
+    assert {(r["url"], r["line_no"]) for r in marks} == {("https://d.example/1", 1), ("https://d.example/2", 0), ("https://d.example/2", 1)}
+    assert "words here" in markup.render(deep)[0]
