@@ -1,8 +1,8 @@
 """Markup residue (HTML, Markdown, wiki, LaTeX) to clean text that keeps headings, lists, code, formulas and tables.
 
-The renderer is layout-aware: texts with HTML go through a tree builder with implied tags and rules of visibility, whose walk
-puts out all visible text with block spacing, list marks and aligned cells; the line-based notations are first rewritten to the
-same tree of blocks or to inline text. Code and formulas are set aside first, so nothing inside them is read as markup.
+The renderer is layout-aware: one tree builder with implied tags and rules of visibility, whose walk puts out all visible text with
+block spacing, list marks and aligned cells. The line-based notations (headings, lists, quotes, rules, tables, and LaTeX's environments) are rewritten to
+the same tree of blocks; emphasis, links and templates to the text that they show. Code and formulas are set aside first, so nothing inside them is read as markup.
 """
 
 from __future__ import annotations
@@ -16,17 +16,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts without any of these hold no markup; only texts that match are rendered.
-SUSPECT = r"[<&*_~`\\$\[{|]|(?m)^\s{0,3}(?:[-+] |>|#{1,6}\s|=+[^=])|(?m)^\s*(?:-{3,}|={3,})\s*$|''"
+#: Texts without any of these hold no markup; only texts that match are rendered. A sign that every inline notation has, or a
+#: line that begins as the line notations do, behind blanks of any kind.
+BLANK = r"[\s\p{Z}\p{Cc}]"
+SUSPECT = rf"[<&*_~`\\$\[{{|#>]|''|(?m)^{BLANK}*(?:[-+]{BLANK}|[=;]|-{{3}})"
 
 DEPTH = 200  # elements inside each other from which further ones hold nothing: what would be in them stands beside them
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "head", "template", "noscript", "iframe", "object", "svg"}
-BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "tfoot", "thead", "tr", "ul"}
+BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul"}
 CELL = {"td", "th"}
 #: An opening tag ends the open elements named here, up to the given scope.
 IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"})}
-KNOWN = BLOCK | VOID | HIDDEN | CELL | {"a", "abbr", "b", "big", "button", "cite", "code", "del", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "nowiki", "option", "q", "ref", "s", "samp", "select", "small", "span", "strike", "strong", "sub", "sup", "textarea", "time", "title", "tt", "u", "var"}
+KNOWN = BLOCK | VOID | HIDDEN | CELL | {"a", "abbr", "b", "big", "button", "cite", "code", "del", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "nowiki", "option", "q", "ref", "s", "source", "syntaxhighlight", "samp", "select", "small", "span", "strike", "strong", "sub", "sup", "textarea", "time", "title", "tt", "u", "var"}
 
 TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b(?:\s[^<>]*)?/?>")
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>", re.S | re.I)
@@ -89,12 +91,13 @@ def visible(node: Node) -> bool:
 
 
 class Layout:
-    """Text with block spacing: ``gap`` asks for line ends before the next text."""
+    """Text with block spacing: ``gap`` asks for line ends before the next text. ``kept`` is what was set aside."""
 
-    def __init__(self):
+    def __init__(self, kept: list[str] | None = None):
         self.out: list[str] = []
         self.pending = 0
         self.space = False
+        self.kept = kept or []
 
     def gap(self, lines: int) -> None:
         self.pending = max(self.pending, lines)
@@ -114,6 +117,12 @@ class Layout:
         self.pending = 0
         self.out.append(s)
 
+    def inner(self, node: Node, lists: tuple = ()) -> str:
+        """What a node holds, by itself, with what was set aside in its place."""
+        layout = Layout(self.kept)
+        render_tree(node, layout, lists)
+        return restored(layout.result(), self.kept).strip()
+
     def result(self) -> str:
         return "".join(self.out)
 
@@ -142,25 +151,21 @@ def render_tree(node: Node, layout: Layout, lists: tuple = ()) -> None:
             counter += 1
             layout.gap(1)
             mark = f"{counter}. " if lists and lists[-1] == "ol" else "- "
-            inner = Layout()
-            render_tree(child, inner, lists or ("ul",))
-            if body := inner.result().strip():
+            if body := layout.inner(child, lists or ("ul",)):
                 layout.text(mark + body.replace("\n", "\n  "), raw=True)
             layout.gap(1)
         elif re.fullmatch("h[1-6]", tag):
             layout.gap(2)
-            inner = Layout()
-            render_tree(child, inner)
-            if body := inner.result().strip():
+            if body := layout.inner(child):
                 layout.text("#" * int(tag[1]) + " " + body, raw=True)
             layout.gap(2)
         elif tag == "pre":
             layout.gap(2)
-            layout.text("```\n" + raw_text(child).strip("\n") + "\n```", raw=True)
+            layout.text(fenced(raw_text(child)), raw=True)
             layout.gap(2)
         elif tag == "table":
             layout.gap(2)
-            if rows := table_rows(child):
+            if rows := table_rows(child, layout):
                 layout.text(aligned(rows), raw=True)
             layout.gap(2)
         elif tag in CELL:
@@ -168,7 +173,7 @@ def render_tree(node: Node, layout: Layout, lists: tuple = ()) -> None:
             render_tree(child, layout, lists)
             layout.gap(1)
         elif tag in BLOCK:
-            space = 2 if tag in ("p", "blockquote") else 1
+            space = 2 if tag in ("p", "blockquote", "dl") else 1
             layout.gap(space)
             render_tree(child, layout, lists)
             layout.gap(space)
@@ -176,11 +181,22 @@ def render_tree(node: Node, layout: Layout, lists: tuple = ()) -> None:
             render_tree(child, layout, lists)
 
 
+def fenced(code: str) -> str:
+    return "```\n" + code.strip("\n") + "\n```"
+
+
+def restored(t: str, kept: list[str]) -> str:
+    """With what was set aside in its place again."""
+    for _ in range(2):  # a table may hold code or formulas
+        t = KEEP.sub(lambda m: kept[int(m[1])], t)
+    return t
+
+
 def raw_text(node: Node) -> str:
     return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else raw_text(c) if visible(c) else "" for c in node.children)
 
 
-def table_rows(node: Node) -> list[list[str]]:
+def table_rows(node: Node, layout: Layout) -> list[list[str]]:
     rows: list[list[str]] = []
     for child in node.children:
         if isinstance(child, str):
@@ -195,27 +211,28 @@ def table_rows(node: Node) -> list[list[str]]:
                     if c.strip():
                         cells.append(" ".join(c.split()))
                 elif visible(c):
-                    inner = Layout()
-                    render_tree(c, inner)
-                    cells.append(" ".join(inner.result().split()))
+                    cells.append(re.sub(r"\n{2,}", "\n", layout.inner(c)))
             rows.append(cells)
         elif child.tag in ("thead", "tbody", "tfoot"):
-            rows += table_rows(child)
-        else:
-            inner = Layout()
-            render_tree(child, inner)
-            if inner.result().strip():
-                rows.append([" ".join(inner.result().split())])
+            rows += table_rows(child, layout)
+        elif text := layout.inner(child):
+            rows.append([text])
     return [r for r in rows if any(r)]
 
 
 def aligned(rows: list[list[str]]) -> str:
-    """Cells padded to the width of their column, but the last of a row."""
+    """Cells padded to the width of their column, but the last of a row; a cell of several lines keeps them, its row is as high."""
     widths: dict[int, int] = {}
     for r in rows:
         for k, c in enumerate(r[:-1]):
-            widths[k] = max(widths.get(k, 0), len(c))
-    return "\n".join("  ".join([*(c.ljust(widths[k]) for k, c in enumerate(r[:-1])), *r[-1:]]).rstrip() for r in rows)
+            widths[k] = max(widths.get(k, 0), *map(len, c.split("\n")))
+    out = []
+    for r in rows:
+        cells = [c.split("\n") for c in r]
+        for n in range(max(map(len, cells))):
+            line = [c[n] if n < len(c) else "" for c in cells]
+            out.append("  ".join([*(c.ljust(widths[k]) for k, c in enumerate(line[:-1])), *line[-1:]]).rstrip())
+    return "\n".join(out)
 
 
 # LaTeX signs that have a character of their own; other commands keep their name inside formulas.
@@ -239,14 +256,51 @@ def formula(tex: str) -> str:
     return " ".join(t.replace("{", "(").replace("}", ")").split())
 
 
+def mathml(node: Node) -> str:
+    """A MathML formula as linear text: fractions with a slash, powers and indices with their signs, roots by name."""
+    parts = [c for c in node.children if not isinstance(c, str) and c.tag not in ("annotation", "annotation-xml")]
+    tag, inner = node.tag, [mathml(c) for c in parts]
+    one = lambda x: x if re.fullmatch(r"[^\W_]+|\S", x) or (x[:1] == "(" and x[-1:] == ")") else f"({x})"
+    if not parts:
+        return " ".join("".join(c for c in node.children if isinstance(c, str)).split())
+    if tag == "mfrac" and len(inner) == 2:
+        return f"{one(inner[0])}/{one(inner[1])}"
+    if tag in ("msup", "mover") and len(inner) == 2:
+        return f"{inner[0]}^{one(inner[1])}"
+    if tag in ("msub", "munder") and len(inner) == 2:
+        return f"{inner[0]}_{one(inner[1])}"
+    if tag in ("msubsup", "munderover") and len(inner) == 3:
+        return f"{inner[0]}_{one(inner[1])}^{one(inner[2])}"
+    if tag == "msqrt":
+        return f"sqrt({' '.join(inner)})"
+    if tag == "mroot" and len(inner) == 2:
+        return f"root({inner[0]}, {inner[1]})"
+    if tag == "mfenced":
+        return f"{node.attrs.get('open', '(')}{', '.join(inner)}{node.attrs.get('close', ')')}"
+    if tag in ("mtr", "mtable"):
+        return (", " if tag == "mtr" else "; ").join(inner)
+    return " ".join(x for x in inner if x)
+
+
+def math_text(body: str) -> str:
+    """The inside of a ``math`` element, which holds MathML or TeX."""
+    if not TAG.search(body):
+        return formula(html.unescape(body))
+    builder = TreeBuilder()
+    builder.feed(body)
+    builder.close()
+    return mathml(builder.root)
+
+
 KEEP = re.compile("\ue000(\\d+)\ue001")
 FENCE = re.compile(r"^(`{3,}|~{3,})[^\n`]*\n(.*?)(?:\n\1[ \t]*(?=\n|\Z)|\Z)", re.S | re.M)
-PRE = re.compile(r"<pre\b[^>]*>(.*?)(?:</pre>|\Z)", re.S | re.I)
+PRE = re.compile(r"<(pre|syntaxhighlight|source)\b[^>/]*>(.*?)(?:</\1>|\Z)", re.S | re.I)
+VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted|Verbatim)\*?\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?[ \t]*\n?(.*?)(?:\\end\{\1\*?\}|\Z)", re.S)
+MATH_TAG = re.compile(r"<math\b[^>]*>(.*?)</math>", re.S | re.I)
 MATH = [
     re.compile(r"\$\$(.+?)\$\$", re.S),
     re.compile(r"\\\((.+?)\\\)", re.S),
     re.compile(r"\\\[(.+?)\\\]", re.S),
-    re.compile(r"<math\b[^>]*>(.*?)</math>", re.S | re.I),
     re.compile(r"\\begin\{(?:equation|align|displaymath)\*?\}(.+?)\\end\{(?:equation|align|displaymath)\*?\}", re.S),
     re.compile(r"(?<![\\$])\$(?=[^$\n]*[\\^_={}])(?=\S)([^$\n]+?)(?<=\S)\$(?!\d)"),
     re.compile(r"(?<![\\$])\$([A-Za-z])\$"),
@@ -260,6 +314,7 @@ INLINE = [  # (kind, pattern, replacement)
     ("wiki", re.compile(r"'''''|'''|''(?!')"), ""),
     ("markdown", re.compile(r"!\[([^\]\n]*)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)"), r"\1"),
     ("markdown", re.compile(r"\[([^\]\n]+)\]\([^()\s]+(?:\s+\"[^\"]*\")?\)"), r"\1"),
+    ("markdown", re.compile(r"(?<![\w*])\*\*\*(?=\S)([^*\n]+?)(?<=\S)\*\*\*(?![\w*])"), r"\1"),
     ("markdown", re.compile(r"(?<!\w)\*\*(?=\S)([^*\n]+?)(?<=\S)\*\*(?!\*)"), r"\1"),
     ("markdown", re.compile(r"(?<![\w_])__(?=\S)([^_\n]+?)(?<=\S)__(?![\w_])"), r"\1"),
     ("markdown", re.compile(r"(?<!~)~~(?=\S)([^~\n]+?)(?<=\S)~~(?!~)"), r"\1"),
@@ -267,15 +322,50 @@ INLINE = [  # (kind, pattern, replacement)
     ("markdown", re.compile(r"(?<![\w_])_(?![\s_])([^_\n]+?)(?<!\s)_(?![\w_])"), r"\1"),
 ]
 TEX = [
-    (re.compile(r"\\(?:sub)*section\*?\{([^{}]*)\}[ \t]*\n?"), r"\n\n## \1\n\n"),
-    (re.compile(r"\\(?:chapter|title)\*?\{([^{}]*)\}[ \t]*\n?"), r"\n\n# \1\n\n"),
+    (re.compile(r"\\(?:sub)*section\*?\{([^{}]*)\}[ \t]*\n?"), r"\n\n<h2>\1</h2>\n\n"),
+    (re.compile(r"\\(?:chapter|title)\*?\{([^{}]*)\}[ \t]*\n?"), r"\n\n<h1>\1</h1>\n\n"),
     (re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]]*\])?[ \t]*\n?"), "\n"),
-    (re.compile(r"\n?[ \t]*\\item(?:\[([^\]]*)\])?[ \t]*"), "\n- "),
+    (re.compile(r"\n?[ \t]*\\item\b(?:\[([^\]]*)\])?[ \t]*"), "\n- "),
     (re.compile(r"\\(?:emph|textbf|textit|texttt|underline|textsc|textrm|text|mbox)\{([^{}]*)\}"), r"\1"),
     (re.compile(r"\\(?:label|ref|cite|index|footnote|vspace|hspace)\*?\{[^{}]*\}"), ""),
     (re.compile(r"[ \t]*\\\\(?:\[[^\]]*\])?[ \t]*\n?"), "\n"),
     (re.compile(r"\\(?:noindent|newpage|clearpage|par|centering|bigskip|medskip|smallskip|hline)\b[ \t]*"), ""),
 ]
+TEX_LIST = re.compile(r"[ \t]*\\begin\{(itemize|enumerate|description)\}(?:\[[^\]]*\])?((?:(?!\\begin\{(?:itemize|enumerate|description)\}).)*?)\\end\{\1\}[ \t]*\n?", re.S)
+TEX_TABLE = re.compile(r"\\begin\{(tabular[x*]?|longtable|array)\}(?:\[[^\]]*\])?((?:\{[^{}]*\}){1,2})(.*?)\\end\{\1\}", re.S)
+TEX_RULES = re.compile(r"\\(?:hline|toprule|midrule|bottomrule|c(?:mid)?line(?:\([^()]*\))?\{[^{}]*\})")
+
+
+def tex_blocks(t: str) -> tuple[str, bool]:
+    """LaTeX lists and tables as elements, from the inside out."""
+
+    def listed(m: re.Match) -> str:
+        items = re.split(r"\\item\b", m[2])[1:]
+        labelled = (re.sub(r"^[ \t]*\[([^\]]*)\]", r"\1 ", x) for x in items)
+        tag = "ol" if m[1] == "enumerate" else "ul"
+        return f"\n\n<{tag}>{''.join(f'<li>{" ".join(x.split())}</li>' for x in labelled)}</{tag}>\n\n"
+
+    def tabled(m: re.Match) -> str:
+        rows = [re.split(r"(?<!\\)&", r) for r in re.split(r"\\\\(?:\[[^\]]*\])?", TEX_RULES.sub(" ", m[3])) if r.strip()]
+        cells = [[re.sub(r"\\multi(?:column|row)\{[^{}]*\}\{[^{}]*\}\{([^{}]*)\}", r"\1", c.strip()) for c in r] for r in rows]
+        return table_html(cells)
+
+    found = 0
+    t, n = TEX_TABLE.subn(tabled, t)
+    found += n
+    for _ in range(12):
+        t, n = TEX_LIST.subn(listed, t)
+        found += n
+        if not n:
+            break
+    return t, bool(found)
+
+
+def table_html(rows: list[list[str]]) -> str:
+    body = "".join("<tr>" + "".join(f"<td>{' '.join(c.split())}</td>" for c in r) + "</tr>" for r in rows)
+    return f"\n\n<table>{body}</table>\n\n"
+
+
 TEX_ESCAPE = re.compile(r"\\([%&#_$])")
 TEX_OTHER = re.compile(r"\\([A-Za-z]{2,})\*?(?:\{([^{}]*)\})?")
 
@@ -320,24 +410,79 @@ def wiki_table(lines: list[str]) -> str:
             rows[-1][-1] += " " + s
         elif s:
             rows[-1].append(s)
-    return aligned([r for r in rows if any(r)])
+    return table_html([r for r in rows if any(r)])
+
+
+ITEM = re.compile(r"(\s*)[*+-]\s+(?:\[[ xX]?\]\s+)?(\S.*)")
+STARS = re.compile(r"(\*{2,6})\s+([^*\s].*)$")
+UNDERLINE = re.compile(r"\s{0,3}(?:=|-)*(={3,}|-{3,})\s*")
+RULE = re.compile(r"\s*(?:-{3,}|\*{3,}|_{3,})\s*")
+
+
+def listed(items: list[tuple[int, str, str]]) -> str:
+    """Items (depth, list tag, text) as nested lists; a deeper item is in the one before it."""
+    out, open_ = [], []
+    for depth, tag, text in items:
+        while open_ and open_[-1][0] > depth:
+            out.append(f"</li></{open_.pop()[1]}>")
+        if open_ and open_[-1][0] == depth and open_[-1][1] == tag:
+            out.append("</li>")
+        elif open_ and open_[-1][0] == depth:
+            out.append(f"</li></{open_.pop()[1]}><{tag}>")
+            open_.append((depth, tag))
+        else:
+            out.append(f"<{tag}>")
+            open_.append((depth, tag))
+        out.append(f"<li>{text}")
+    out += [f"</li></{tag}>" for _, tag in reversed(open_)]
+    return "".join(out)
 
 
-def blocks(text: str, kinds: set[str], wiki: bool, keep: Callable[[str], str]) -> str:
-    """Line-based notations: headings, lists, quotes and tables, brought to one form."""
+def blocks(text: str, kinds: set[str], wiki: bool) -> str:
+    """Line-based notations as elements: headings, lists, quotes, rules, definitions and tables. Other lines stay, parted by line ends."""
     lines, out, k = text.split("\n"), [], 0
     hashes = [bool(re.match(r"#\s+\S", x)) for x in lines]
     numbered = wiki or sum(hashes) >= 2
-    number = 0
+    items: list[tuple[int, str, str]] = []
+
+    def close() -> None:
+        if items:
+            out.extend(["", listed(items), ""])
+            items.clear()
+
     while k < len(lines):
         line = lines[k]
+        after = lines[k + 1] if k + 1 < len(lines) else ""
+        if m := ITEM.match(line):
+            kinds.add("list")
+            items.append((len(m[1].expandtabs(4)), "ul", m[2]))
+            k += 1
+            continue
+        if m := STARS.match(line):
+            kinds.add("wiki")
+            items.append((len(m[1]) - 1, "ul", m[2]))
+            k += 1
+            continue
+        if numbered and (m := re.match(r"#\s+(\S.*)", line)):
+            kinds.add("wiki")
+            items.append((0, "ol", m[1]))
+            k += 1
+            continue
+        if items and line.strip() and re.match(r"\s{2,}\S", line) and not RULE.fullmatch(line):  # goes on with the item before
+            items[-1] = (*items[-1][:2], items[-1][2] + "<br>" + line.strip())
+            k += 1
+            continue
+        if items and not line.strip() and ITEM.match(after):
+            k += 1
+            continue
+        close()
         if re.match(r"\s*\{\|", line):
             kinds.add("wiki")
             end = next((j for j in range(k + 1, len(lines)) if lines[j].strip().startswith("|}")), len(lines))
-            out += ["", keep(wiki_table(lines[k + 1 : end])), ""]
+            out.append(wiki_table(lines[k + 1 : end]))
             k = end + 1
             continue
-        if line.strip().startswith("|") and k + 1 < len(lines) and re.fullmatch(r"\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)*\|?\s*", lines[k + 1]):
+        if line.strip().startswith("|") and re.fullmatch(r"\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)*\|?\s*", after):
             kinds.add("markdown")
             rows = []
             while k < len(lines) and lines[k].strip().startswith("|"):
@@ -345,46 +490,62 @@ def blocks(text: str, kinds: set[str], wiki: bool, keep: Callable[[str], str]) -
                 if not all(re.fullmatch(r":?-{2,}:?", c) for c in cells):
                     rows.append(cells)
                 k += 1
-            out += ["", keep(aligned(rows)), ""]
+            out.append(table_html(rows))
+            continue
+        if line.strip() and UNDERLINE.fullmatch(after) and not UNDERLINE.fullmatch(line) and not (k and lines[k - 1].strip()) and not re.match(r"\s*[|>#=]", line):
+            kinds.add("markdown")
+            level = 1 if "=" in after else 2
+            out += ["", f"<h{level}>{line.strip()}</h{level}>", ""]
+            k += 2
             continue
         if m := re.fullmatch(r"\s*(={1,6})\s*([^=].*?)\s*\1\s*", line):
             kinds.add("wiki")
-            out += ["", "#" * len(m[1]) + " " + m[2], ""]
-        elif (m := re.match(r"(#{1,6})\s+(\S.*)", line)) and not (len(m[1]) == 1 and numbered):
+            out += ["", f"<h{len(m[1])}>{m[2]}</h{len(m[1])}>", ""]
+        elif m := re.match(r"(#{1,6})\s+(\S.*)", line):
             kinds.add("markdown")
-            out += ["", f"{m[1]} {m[2].rstrip('# ')}", ""]
-        elif numbered and (m := re.match(r"#\s+(\S.*)", line)):
+            out += ["", f"<h{len(m[1])}>{m[2].rstrip('# ')}</h{len(m[1])}>", ""]
+        elif (m := re.match(r"\s*;\s*(\S[^\n]*)", line)) and (wiki or re.match(r"\s*:\s*\S", after)):
             kinds.add("wiki")
-            number += 1
-            out.append(f"{number}. {m[1]}")
-            k += 1
-            continue
-        elif m := re.match(r"(\s*)[*+-]\s+(?:\[[ xX]?\]\s+)?(\S.*)", line):
-            kinds.add("list")
-            out.append(f"{m[1]}- {m[2]}")
-        elif m := re.match(r"(\*{2,6})\s+([^*\s].*)$", line):
+            term, _, meaning = m[1].partition(" : ")
+            out += ["", f"<dl><dt>{term}</dt>" + (f"<dd>{meaning}</dd>" if meaning else "")]
+            while k + 1 < len(lines) and (m := re.match(r"\s*:+\s*(\S.*)", lines[k + 1])):
+                out[-1] += f"<dd>{m[1]}</dd>"
+                k += 1
+            out[-1] += "</dl>"
+            out.append("")
+        elif wiki and (m := re.match(r"\s*:+\s*(\S.*)", line)):
             kinds.add("wiki")
-            out.append("  " * (len(m[1]) - 1) + "- " + m[2])
+            out.append(f"<dd>{m[1]}</dd>")
         elif m := re.match(r"\s{0,3}>+\s?(\S.*)", line):
             kinds.add("markdown")
             out.append(m[1])
-        elif re.fullmatch(r"\s*(?:-{3,}|\*{3,}|_{3,})\s*", line):
+        elif RULE.fullmatch(line):
             kinds.add("markdown")
-            out.append("")
+            out += ["", "<hr>", ""]
         else:
             out.append(line)
-        number = 0 if not line.strip() else number
         k += 1
+    close()
     return "\n".join(out)
 
 
+def escaped(t: str) -> str:
+    """With signs that begin no known tag as characters of the text."""
+    out, at = [], 0
+    for m in TAG.finditer(t):
+        if m[1].lower() in KNOWN:
+            out += [t[at : m.start()].replace("<", "&lt;"), m[0]]
+            at = m.end()
+    return "".join([*out, t[at:].replace("<", "&lt;")])
+
+
 def render(text: str | None) -> tuple[str | None, list[str]]:
     """(clean text, kinds of markup found). Null stays null; a text without markup comes out as it is, with line ends made one."""
     if text is None:
         return None, []
     kinds: set[str] = set()
     t = text.replace("\r\n", "\n").replace("\r", "\n").replace("\ue000", "").replace("\ue001", "")
-    kept: list[str] = []
+    plain, kept = t, []
 
     def keep(s: str) -> str:
         kept.append(s)
@@ -394,8 +555,10 @@ def render(text: str | None) -> tuple[str | None, list[str]]:
         kinds.add(kind)
         return "\n\n" + keep(body) + "\n\n"
 
-    t = FENCE.sub(lambda m: block("markdown", "```\n" + m[2].strip("\n") + "\n```"), t)
-    t = PRE.sub(lambda m: block("html", "```\n" + html.unescape(TAG.sub("", m[1])).strip("\n") + "\n```"), t)
+    t = FENCE.sub(lambda m: block("markdown", fenced(m[2])), t)
+    t = VERBATIM.sub(lambda m: block("latex", fenced(m[2])), t)
+    t = PRE.sub(lambda m: block("html" if m[1].lower() == "pre" else "wiki", fenced(html.unescape(TAG.sub("", m[2])))), t)
+    t = MATH_TAG.sub(lambda m: (kinds.add("html" if TAG.search(m[1]) else "latex"), keep(math_text(m[1])))[1], t)
     for p in MATH:
         t = p.sub(lambda m: (kinds.add("latex"), keep(formula(m[1])))[1], t)
     t = re.sub(r"(?<!`)(`{1,2})(?!`)([^`\n]+?)\1(?!`)", lambda m: (kinds.add("markdown"), keep(m[2]))[1], t)
@@ -406,7 +569,7 @@ def render(text: str | None) -> tuple[str | None, list[str]]:
     t, n = COMMENT.subn("", t)
     if n:
         kinds.add("html")
-    wiki = "[[" in t or "{{" in t or "{|" in t or bool(re.search(r"^==", t, re.M))
+    wiki = "[[" in t or "{{" in t or "{|" in t or bool(re.search(r"^==[^=\n]", t, re.M))
     t, found = templates(t)
     if found:
         kinds.add("wiki")
@@ -423,35 +586,37 @@ def render(text: str | None) -> tuple[str | None, list[str]]:
         t, n = p.subn(to, t)
         if n:
             kinds.add(kind)
-    t = blocks(t, kinds, wiki, keep)
+    if any(m[1].lower() in KNOWN for m in TAG.finditer(t)):
+        kinds.add("html")
+    source = "html" in kinds and bool(re.search(r">\s*\n\s*<", t))  # line ends between tags only set out the source
+    t = escaped(t)
+    if "\\" in t:
+        t, found = tex_blocks(t)
+        if found:
+            kinds.add("latex")
+    t = blocks(t, kinds, wiki)
     if "\\" in t:
         for p, to in TEX:
             t, n = p.subn(to, t)
             if n:
                 kinds.add("latex")
+        t = blocks(t, kinds, wiki) if "\n- " in t else t
         t, n = TEX_ESCAPE.subn(r"\1", t)
         if n:
             kinds.add("latex")
         t, n = TEX_OTHER.subn(lambda m: SIGNS.get(m[1], m[2] or ""), t)
         if n:
             kinds.add("latex")
-    if any(m[1].lower() in KNOWN for m in TAG.finditer(t)):
-        kinds.add("html")
-        t = TAG.sub(lambda m: m[0] if m[1].lower() in KNOWN else m[0].replace("<", "&lt;"), t)
-        t = re.sub(r"<(?![/a-zA-Z])", "&lt;", t)
-        t = re.sub(r"\n", "<br>", re.sub(r"\n\s*\n", "<p>", t)) if "\n" in t and not re.search(r">\s*\n\s*<", t) else t
-        builder = TreeBuilder()
-        builder.feed(t)
-        builder.close()
-        layout = Layout()
-        render_tree(builder.root, layout)
-        t = layout.result()
-    elif kinds:
-        t = re.sub(r"(?<=\S)[ \t]{2,}(?=\S)", " ", html.unescape(t).replace("\u00a0", " "))
     if not kinds:
-        return t, []
-    for _ in range(2):  # a table may hold code or formulas
-        t = KEEP.sub(lambda m: kept[int(m[1])], t)
+        return plain, []
+    if not source:  # lines are lines, and blank ones part paragraphs
+        t = re.sub(r"(?<=\S)\n(?=\S)", "<br>", re.sub(r"[ \t]*\n[ \t]*", "\n", re.sub(r"\n\s*\n", "\n<p>\n", t)))
+    builder = TreeBuilder()
+    builder.feed(t)
+    builder.close()
+    layout = Layout(kept)
+    render_tree(builder.root, layout)
+    t = restored(layout.result(), kept)
     t = re.sub(r"[ \t]+(?=\n|\Z)", "", t)
     return re.sub(r"\n{3,}", "\n\n", t).strip(), sorted(kinds)
 
