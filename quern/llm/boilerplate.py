@@ -222,11 +222,11 @@ def kept_nodes(leaves: DataFrame) -> DataFrame:
     linked. Importances of a page's containers are worked out from one row for each page; see ``importances``.
     """
     sizes = leaves.groupBy("host").agg(F.count_distinct("url").alias("pages"))
-    on = cut(leaves.where("first").groupBy("host", "content").agg(F.count(F.lit(1)).alias("on")))
+    on = leaves.where("first").groupBy("host", "content").agg(F.count(F.lit(1)).alias("on")).where("on > 1")  # what stands on one page has all its weight
     weight = 1 - F.log(F.col("on").cast("double")) / F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
-    weights = hot_join(on, sizes, ["host"], "inner").select("host", "content", weight.alias("weight"))
+    weights = hot_join(cut(on), sizes, ["host"], "inner").select("host", "content", weight.alias("weight"))
     rows = hot_join(leaves.select("url", "host", "node", "chain", "path", "content", "n_chars", "n_linked"), weights, ["host", "content"])
-    rows = rows.groupBy("url", "host", "node", "path").agg(F.first("chain").alias("chain"), F.sum("n_chars").alias("chars"), F.sum(F.col("weight") * (F.col("n_chars") - F.col("n_linked"))).alias("weight"))
+    rows = rows.groupBy("url", "host", "node", "path").agg(F.first("chain").alias("chain"), F.sum("n_chars").alias("chars"), F.sum(F.coalesce("weight", F.lit(1.0)) * (F.col("n_chars") - F.col("n_linked"))).alias("weight"))
     rows = hot_join(cut(rows), presentation(leaves), ["host", "path"], "inner")
     per = rows.groupBy("url").agg(F.collect_list(F.struct("chain", F.col("chars").cast("double").alias("chars"), "weight", "varied")).alias("_c"))
 
@@ -241,35 +241,35 @@ def kept_nodes(leaves: DataFrame) -> DataFrame:
     return per.select("url", F.explode(kept("_c")).alias("node"))
 
 
-def shares(leaves: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Of each ``key`` by host, and over all hosts: whether it is shown mostly outside the kept containers; ``leaves`` has ``inside``.
+def shares(seen: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Of each ``key`` by host, and over all hosts: whether it is shown mostly outside the kept containers, by counts of (host, ``key``, out, n).
 
-    The share of a host is steadied by that over all hosts.
+    The share of a host is steadied by that over all hosts. Keys that are neither on any host nor seen often have no row: they are all inside, or too rare.
     """
-    seen = cut(leaves.groupBy("host", key).agg(F.count_if(~F.col("inside")).alias("out"), F.count(F.lit(1)).alias("n")))
-    everywhere = cut(seen.groupBy(key).agg(F.sum("out").alias("all_out"), F.sum("n").alias("all_n")).withColumn("share", F.col("all_out") / F.col("all_n")))
-    own = hot_join(seen, everywhere, [key], "inner").withColumn("own", ((F.col("out") + PRIOR * F.col("share")) / (F.col("n") + PRIOR) >= LEAST_OUTSIDE) & (F.col("all_out") >= 2))
-    return cut(own.select("host", key, "own")), cut(everywhere.select(key, "all_out", "all_n", ((F.col("share") >= LEAST_OUTSIDE) & (F.col("all_out") >= 2)).alias("any")))
+    seen = cut(seen.groupBy("host", key).agg(F.sum("out").alias("out"), F.sum("n").alias("n")))
+    everywhere = seen.groupBy(key).agg(F.sum("out").alias("all_out"), F.sum("n").alias("all_n")).withColumn("share", F.col("all_out") / F.col("all_n"))
+    everywhere = cut(everywhere.where((F.col("all_out") >= 2) | (F.col("all_n") >= SURE)).withColumn("any", (F.col("share") >= LEAST_OUTSIDE) & (F.col("all_out") >= 2)))
+    own = hot_join(seen, everywhere, [key], "inner").select("host", key, (((F.col("out") + PRIOR * F.col("share")) / (F.col("n") + PRIOR) >= LEAST_OUTSIDE) & (F.col("all_out") >= 2)).alias("own"))
+    return own, everywhere.drop("share")
 
 
-def boilerplate_contents(leaves: DataFrame, contents: DataFrame) -> DataFrame:
-    """(host, content) of those of ``contents`` (host, content, head, next; distinct) that are boilerplate.
+def boilerplate_contents(leaves: DataFrame, others: DataFrame | None) -> DataFrame:
+    """(host, content) of the contents of ``leaves`` and ``others`` (host, content, head, next) that are boilerplate.
 
     The whole content decides where it is shown to be boilerplate, or ``SURE`` times inside kept containers only. For others their
     start does, if it stands before different contents outside, and the token after it is one that follows it there; any token may
     follow a start that has many there and is never seen inside.
     A content or start that a host's pages never show is judged by all hosts.
     """
-    rows = cut(contents)
+    names = ["host", "content", "head", "next"]
+    seen = cut(leaves.groupBy(*names).agg(F.count_if(~F.col("inside")).alias("out"), F.count(F.lit(1)).alias("n")))
+    rows = seen.select(*names) if others is None else cut(seen.select(*names).unionByName(others.select(*names)).distinct())
     for key, name in (("content", "c"), ("head", "h")):
-        own, everywhere = shares(leaves, key)
-        rows = cut(hot_join(rows, own.withColumnRenamed("own", f"{name}_own"), ["host", key]))
-        rows = cut(hot_join(rows, everywhere.select(key, F.col("all_out").alias(f"{name}_out"), F.col("all_n").alias(f"{name}_n"), F.col("any").alias(f"{name}_any")), [key]))
-    outside = leaves.where("NOT inside")
-    varied = cut(outside.select("head", "next", "content").distinct().groupBy("head", "next").agg(F.count(F.lit(1)).alias("contents")))
-    starts = cut(varied.groupBy("head").agg(F.count(F.lit(1)).alias("nexts"), F.sum("contents").alias("tails")))
-    rows = cut(hot_join(rows, starts, ["head"]))
-    rows = hot_join(rows, varied.select("next", F.lit(True).alias("follows")).distinct(), ["next"])
+        own, everywhere = shares(seen, key)
+        rows = hot_join(hot_join(rows, own.withColumnRenamed("own", f"{name}_own"), ["host", key]), everywhere.withColumnsRenamed({"all_out": f"{name}_out", "all_n": f"{name}_n", "any": f"{name}_any"}), [key])
+    varied = cut(seen.where("out > 0").select("head", "next", "content").distinct().groupBy("head", "next").agg(F.count(F.lit(1)).alias("contents")))
+    starts = varied.groupBy("head").agg(F.count(F.lit(1)).alias("nexts"), F.sum("contents").alias("tails")).where("tails >= 2")
+    rows = hot_join(hot_join(rows, starts, ["head"]), varied.join(starts, "head", "left_semi").select("next", F.lit(True).alias("follows")), ["next"])
     whole = F.coalesce("c_own", "c_any", F.lit(False))
     inside = (F.coalesce("c_out", F.lit(0)) == 0) & (F.coalesce("c_n", F.lit(0)) >= SURE)
     start = F.coalesce("h_own", "h_any", F.lit(False)) & (F.col("tails") >= 2) & (F.coalesce("follows", F.lit(False)) | ((F.col("nexts") >= VARIED) & (F.col("h_out") == F.col("h_n"))))
@@ -290,9 +290,7 @@ def mark_lines(pages: DataFrame, texts_: DataFrame | None = None, url: str = "ur
     lines = leaves.select("url", "host", "line_no", "node", "heading", "content", "head", "next")
     placed = cut(lines.join(kept, ["url", "node"], "left").withColumn("inside", F.coalesce("_kept", F.lit(False))).drop("_kept", "node"))
     rows = None if texts_ is None else cut(text_leaves(texts_, url, text))
-    names = ["host", "content", "head", "next"]
-    contents = placed.select(*names) if rows is None else placed.select(*names).unionByName(rows.select(*names))
-    bad = cut(boilerplate_contents(placed, contents.distinct())).withColumn("_bad", F.lit(True))
+    bad = cut(boilerplate_contents(placed, rows).withColumn("_bad", F.lit(True)))
     lines = hot_join(placed, bad, ["host", "content"])
     out = lines.select(F.lit("html").alias("field"), "url", "line_no", (~F.col("inside") | (F.coalesce("_bad", F.lit(False)) & ~F.col("heading"))).alias("boilerplate"))
     if rows is None:

@@ -12,7 +12,7 @@ MOST, LEAST = 10_000, 1_000  # a key is hot with more than one in MOST of all ro
 
 
 def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """``rows`` joined with ``facts`` (at most one row per key) on ``keys``; ``rows`` should be a written table, it is read more than once.
+    """``rows`` joined with ``facts`` (at most one row per key) on ``keys``.
 
     Up to ``FEW`` facts are broadcast as they are. Of more, rows of hot keys meet their facts by broadcast, of at most ``MOST`` facts; the others meet them by a plain join, in which no
     key has more than one in ``MOST`` of the rows. Null keys find nothing; with ``left`` such rows stay.
@@ -20,6 +20,7 @@ def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "lef
     facts = cut(facts)
     if facts.count() <= FEW:
         return rows.join(F.broadcast(facts), keys, how)
+    rows = cut(rows)
     limit = max(LEAST, rows.count() // MOST)
     hot = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys))
     known = F.broadcast(hot)
