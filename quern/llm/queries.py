@@ -24,14 +24,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut(terms.postings(load(spark, sf_dir, "term_index")))
-    return terms.distinctive_terms(rows, 3, "tf").select("doc_id", "term")
+    return terms.distinctive_terms(terms.postings(load(spark, sf_dir, "term_index")), 3).select("doc_id", "term")
 
 
 def p3_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most distinctive terms of each recipe's method by graph-of-words degree."""
     rows = cut(terms.graph_degrees(load(spark, sf_dir, "recipes"), "url", "method"))
-    return terms.distinctive_terms(rows, 3, "degree").withColumnRenamed("doc_id", "url")
+    return terms.distinctive_terms(terms.weighted(rows, "degree"), 3).withColumnRenamed("doc_id", "url")
 
 
 def p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quern.plans.sql import STOPS
+
 ROWS = """raw AS (SELECT lower(regexp_replace(term, '^\\s+|\\s+$', '', 'g')) AS term, unnest(map_entries(postings)) AS e FROM term_index WHERE postings IS NOT NULL),
 rows_ AS (SELECT term, e.key AS doc_id, max(coalesce(e.value, 0))::BIGINT AS tf FROM raw WHERE term <> '' GROUP BY ALL),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM rows_), df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM rows_ GROUP BY term)"""
@@ -18,10 +20,18 @@ runs AS (SELECT doc_id, item_id, max(n) AS n, count(*) + 9 AS run FROM (SELECT *
 covered AS (SELECT doc_id, item_id, count(DISTINCT dp + k) AS words FROM hits, range(10) r(k) GROUP BY ALL)
 SELECT doc_id, item_id, max(run)::INT AS longest, any_value(words)::INT AS words, max(n)::INT AS doc_words FROM runs JOIN covered USING (doc_id, item_id) GROUP BY ALL"""
 
+GRAPH = f"""WITH toks AS (SELECT row_number() OVER () AS id, url, w FROM (SELECT DISTINCT url, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(method), '[^a-zA-Z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda t: length(t) BETWEEN 3 AND 25 AND t NOT IN {STOPS} AND NOT regexp_full_match(t, '[0-9]+')) AS w FROM recipes WHERE url IS NOT NULL AND method IS NOT NULL)),
+p AS (SELECT url, id, unnest(w) AS t, unnest(range(len(w))) AS i FROM toks),
+degrees AS (SELECT a.url, a.t, count(DISTINCT b.t) AS degree FROM p a LEFT JOIN p b ON a.id = b.id AND b.i BETWEEN a.i - 3 AND a.i + 3 AND a.t <> b.t GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM degrees GROUP BY t HAVING count(*) >= 2), n AS (SELECT count(DISTINCT url) AS n FROM degrees),
+ranked AS (SELECT url, t AS term, score, (row_number() OVER (PARTITION BY url ORDER BY score DESC, t))::INT AS rank FROM (SELECT url, t, round(degree * ln(n / df), 6) AS score FROM degrees JOIN df USING (t), n))
+SELECT url, term, score, rank FROM ranked WHERE rank <= 3"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"WITH {ROWS} SELECT doc_id, term FROM (SELECT doc_id, term, round(tf * ln(n / df), 6) AS s FROM (SELECT r.doc_id, r.term, r.tf, df.df, n.n FROM rows_ r JOIN df USING (term), n WHERE df >= 2)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, term) <= 3",
+        "p3_graph": GRAPH,
         "p5_terms": f"{TERMS} SELECT * FROM marks",
         "p5_found": f"{TERMS} SELECT term, mark FROM marks WHERE mark IS NOT NULL",
         "p8_leaks": LEAKS,

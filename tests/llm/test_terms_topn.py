@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,13 +72,37 @@ def test_term_frequencies_against_brute_force(spark):
     assert rows(terms.term_frequencies(df)) == want
 
 
-def test_bitmaps_over_several_containers(spark, monkeypatch):
-    monkeypatch.setattr(terms, "CONTAINER", 8)
+@pytest.mark.parametrize("size", [100, 1 << 30])
+def test_buckets_and_containers_do_not_show(spark, monkeypatch, size):
+    monkeypatch.setattr(terms, "BUCKET", size)
+    monkeypatch.setattr(terms, "CONTAINER", 16)
     data = sample_index()
-    got = {r["term"]: r["documents"] for r in terms.term_frequencies(spark.createDataFrame(data, INDEX)).collect()}
-    assert got == {t: len(m) for t, m in plain_postings(data).items()}
-    ids = terms.record_ids(spark.range(5000).select(F.col("id").cast("string").alias("doc_id")), 3)
-    assert ids.select("bucket", "pos").distinct().count() == 5000
+    df = spark.createDataFrame(data, INDEX)
+    got = {r["term"]: (r["documents"], r["occurrences"]) for r in terms.term_frequencies(df).collect()}
+    assert got == {t: (len(m), sum(m.values())) for t, m in plain_postings(data).items()}
+
+
+@pytest.mark.parametrize("container", [16, 64, 1 << 16])
+def test_bitmaps_give_back_what_they_hold(monkeypatch, container):
+    monkeypatch.setattr(terms, "CONTAINER", container)
+    rng = random.Random(8)
+    kinds = set()
+    for dense in (0.01, 0.3, 0.5, 0.97):
+        pairs = sorted({(t, d) for t in range(5) for d in range(3000) if rng.random() < dense} | {(7, d) for d in range(100, 2500)})
+        t, d = (np.array(x) for x in zip(*pairs))
+        maps = terms.Bitmaps.of(t, d)
+        kinds |= set(maps.kind.tolist())
+        assert [x.tolist() for x in maps.pairs()] == [t.tolist(), d.tolist()]
+        assert maps.cardinalities(9).tolist() == [sum(a == k for a, _ in pairs) for k in range(9)]
+        assert maps.data.nbytes <= 2 * len(pairs) and maps.data.nbytes <= sum(container // 8 for _ in maps.n)
+    assert kinds == {16: {terms.ARRAY, terms.BITMAP}, 64: {terms.ARRAY, terms.RUN, terms.BITMAP}, 1 << 16: {terms.ARRAY, terms.RUN}}[container]
+    empty = terms.Bitmaps.of(np.zeros(0, dtype=int), np.zeros(0, dtype=int))
+    assert len(empty.pairs()[0]) == 0 and empty.cardinalities(2).tolist() == [0, 0]
+
+
+def test_union_keeps_the_highest_counter():
+    pairs, counts = terms.union((np.array([3, 1]), np.array([1.0, 5.0])), (np.array([1, 2, 3]), np.array([9.0, 1.0, 0.0])))
+    assert pairs.tolist() == [1, 2, 3] and counts.tolist() == [9.0, 1.0, 1.0]
 
 
 def test_empty_index(spark):
@@ -86,7 +111,7 @@ def test_empty_index(spark):
     assert terms.distinctive_terms(terms.postings(e)).count() == 0
 
 
-def test_distinctive_terms_against_brute_force(spark):
+def test_distinctive_terms_against_brute_force(spark, monkeypatch):
     data = sample_index()
     p = plain_postings(data)
     total = len({d for m in p.values() for d in m})
@@ -96,8 +121,13 @@ def test_distinctive_terms_against_brute_force(spark):
             for d, n in m.items():
                 scores[d].append((-round(n * math.log(total / len(m)), 6), t))
     want = sorted((d, t) for d, s in scores.items() for _, t in sorted(s)[:3])
-    got = terms.distinctive_terms(terms.postings(spark.createDataFrame(data, INDEX)))
-    assert sorted((r["doc_id"], r["term"]) for r in got.collect()) == want
+    df = spark.createDataFrame(data, INDEX)
+    for size in (1 << 30, 50):
+        monkeypatch.setattr(terms, "BUCKET", size)
+        got = terms.distinctive_terms(terms.postings(df))
+        assert sorted((r["doc_id"], r["term"]) for r in got.collect()) == want
+    flat = spark.createDataFrame([(d, t, n) for t, m in p.items() for d, n in m.items()] + [(None, "t", 1), ("d1", None, 1)], "doc_id string, term string, w int").withColumn("score", F.lit("clash"))
+    assert sorted((r["doc_id"], r["term"]) for r in terms.distinctive_terms(terms.weighted(flat, "w")).collect()) == want
 
 
 def test_graph_degrees_against_brute_force(spark):
