@@ -12,9 +12,12 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,15 +49,21 @@ def normal(text: str, site: str) -> str:
     return EDGES.sub("", re.sub(r"\d+", "0", t))
 
 
+@lru_cache(maxsize=10_000)
+def hashed_path(s: str) -> int:
+    return hashed(s)
+
+
 def hashed(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
+@lru_cache(maxsize=50_000)
 def keys(text: str, site: str) -> tuple[int, int, int]:
     """Hashes of the whole normal line, of its first tokens, and of these with the next."""
     t = normal(text, site)
-    tokens = TOKEN.findall(t)
-    return hashed(t), hashed(" ".join(tokens[:HEAD])), hashed(" ".join(tokens[: HEAD + 1]))
+    tokens = [m.group() for m in islice(TOKEN.finditer(t), HEAD + 1)]
+    return hashed(t), hashed(" ".join(tokens[:HEAD])), hashed(" ".join(tokens))
 
 
 def site_of(url: str | None) -> tuple[str, str]:
@@ -79,6 +88,8 @@ class LineTree(TreeBuilder):
 
 def style(node: Node) -> str:
     """Tag with class and id, digits left out."""
+    if not node.attrs:
+        return node.tag
     return node.tag + "".join("." + re.sub(r"\d+", "", node.attrs[a] or "") for a in ("class", "id") if a in node.attrs)
 
 
@@ -145,7 +156,7 @@ def leaves_of(url: str, page: str) -> list[tuple]:
     for line in sorted(lines):
         chain, path, under, heading, parts, linked = lines[line]
         content, head, after = keys(" ".join(parts), site)
-        out.append((url, host, line, chain[-1], list(chain), hashed(path), hashed(under), heading, content, head, after, content not in seen, sum(map(len, parts)), linked))
+        out.append((url, host, line, chain[-1], list(chain), hashed_path(path), hashed_path(under), heading, content, head, after, content not in seen, sum(map(len, parts)), linked))
         seen.add(content)
     return out
 
@@ -153,30 +164,38 @@ def leaves_of(url: str, page: str) -> list[tuple]:
 def page_leaves(pages: DataFrame) -> DataFrame:
     """The visible lines of each page (the latest fetch of a url; rows without url or html are left out)."""
     one = pages.where("url IS NOT NULL AND html IS NOT NULL").groupBy("url").agg(F.max_by("html", F.struct("fetched_at", F.xxhash64("html"))).alias("html"))
-    types = {"int": "int32", "long": "int64", "boolean": "bool"}
-    names = dict(c.split() for c in LEAVES.split(", "))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for u, h in zip(b["url"], b["html"]) for r in leaves_of(u, h)]
-            yield pd.DataFrame(rows, columns=list(names)).astype({c: types[t] for c, t in names.items() if t in types})
+            yield columns([r for u, h in zip(b.column("url").to_pylist(), b.column("html").to_pylist()) for r in leaves_of(u, h)], LEAVES)
+
+    return one.mapInArrow(run, LEAVES)
+
 
-    return one.mapInPandas(run, LEAVES)
+TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+
+
+def columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    values = zip(*rows) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(v, TYPES[t]) for v, (_, t) in zip(values, fields)], names=[c for c, _ in fields])
 
 
 def text_leaves(texts_: DataFrame, url: str, text: str) -> DataFrame:
     """The visible lines of a plain text, one text per url: (url, host, line_no, content, head, next)."""
     one = texts_.select(F.col(url).alias("url"), F.col(text).alias("_t")).where("url IS NOT NULL AND _t IS NOT NULL").groupBy("url").agg(F.max("_t").alias("_t"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    lines = "url string, host string, line_no int, content long, head long, next long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for u, t in zip(b["url"], b["_t"]):
+            for u, t in zip(b.column("url").to_pylist(), b.column("_t").to_pylist()):
                 host, site = site_of(u)
                 rows += [(u, host, k, *keys(line, site)) for k, line in enumerate(t.split("\n")) if line.strip()]
-            yield pd.DataFrame(rows, columns=["url", "host", "line_no", "content", "head", "next"]).astype({"line_no": "int32", "content": "int64", "head": "int64", "next": "int64"})
+            yield columns(rows, lines)
 
-    return one.mapInPandas(run, "url string, host string, line_no int, content long, head long, next long")
+    return one.mapInArrow(run, lines)
 
 
 def presentation(leaves: DataFrame) -> DataFrame:

@@ -84,6 +84,8 @@ class TreeBuilder(HTMLParser):
 
 
 def visible(node: Node) -> bool:
+    if not node.attrs:
+        return node.tag not in HIDDEN and node.tag != "ref"
     if node.tag in HIDDEN or node.tag == "ref" or "hidden" in node.attrs:
         return False
     style = (node.attrs.get("style") or "").replace(" ", "").lower()

@@ -11,21 +11,37 @@ from quern.session import cut, spread
 BINS = 4096  # bins of the sampling order of a source; only the bin in which the budget ends is sorted
 
 
-def quality(text: Column) -> Column:
-    """Weight of a text in sampling, in [0.05, 1]: its share of letters and spaces."""
-    return F.greatest(F.lit(0.05), F.coalesce(F.length(F.regexp_replace(text, r"[^\p{L} ]", "")) / F.nullif(F.length(text), F.lit(0)), F.lit(0.05)))
+LEAST_WEIGHT = 0.05
+FULL_WORDS = 100  # words from which a text isn't short
+
 
+def quality(text: Column) -> Column:
+    """Weight of a text in sampling, in [0.05, 1]: the geometric mean of what speaks for running prose.
 
-def sized_texts(docs: DataFrame, tokenizer: str | None = None, weight: str | None = None) -> DataFrame:
+    Share of letters and blanks among its characters; distinct words against the number that a text of its length has by Heaps' law (at the
+    square root, times 3); distinct lines among those that aren't blank; words of 2 to 15 characters among all; and its length, up to 100 words. All in expressions.
+    """
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    lines = F.filter(F.transform(F.split(text, r"[\r\n]+"), F.trim), lambda x: x != "")
+    n = F.size(words).cast("double")
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\s]", "")) / F.nullif(F.length(text), F.lit(0))
+    varied = F.least(F.lit(1.0), F.size(F.array_distinct(words)) / F.least(n, 3 * F.sqrt(n)))
+    fresh = F.size(F.array_distinct(lines)) / F.nullif(F.size(lines), F.lit(0))
+    usual = F.size(F.filter(words, lambda w: (F.length(w) >= 2) & (F.length(w) <= 15))) / F.nullif(n, F.lit(0.0))
+    whole = F.pow(letters * varied * fresh * usual * F.least(F.lit(1.0), n / FULL_WORDS), F.lit(0.2))
+    return F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(whole, F.lit(LEAST_WEIGHT)))
+
+
+def sized_texts(docs: DataFrame, tokenizer: str | None = None, weight: str | None = None, size: Column | None = None) -> DataFrame:
     """(source, key, doc_id, copies, tokens, weight): each different text of a source once, with its size in tokens.
 
     Rows of one text and source are copies, told apart by a 128-bit hash; the lowest doc_id stands for them. Null texts have no
     size and are left out, empty texts have 0 tokens; a null source is a source of its own. Null, NaN and non-positive weights
-    count as 0.05. Texts don't move: only hashes and sizes are shuffled.
+    count as 0.05. ``size`` is another measure than tokens. Texts don't move: only hashes and sizes are shuffled.
     """
     t = F.col("text")
     w = quality(t) if weight is None else F.when(F.col(weight) > 0, F.when(F.isnan(F.col(weight).cast("double")), F.lit(0.05)).otherwise(F.col(weight).cast("double"))).otherwise(F.lit(0.05))
-    rows = spread(docs.where(t.isNotNull()), "doc_id").select("source", F.md5(t.cast("binary")).alias("key"), "doc_id", w.alias("weight"), token_count("text", tokenizer).alias("tokens"))
+    rows = spread(docs.where(t.isNotNull()), "doc_id").select("source", F.md5(t.cast("binary")).alias("key"), "doc_id", w.alias("weight"), (token_count("text", tokenizer) if size is None else size).cast("long").alias("tokens"))
     return rows.groupBy("source", "key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("tokens").alias("tokens"), F.max("weight").alias("weight"))
 
 
@@ -36,14 +52,14 @@ def budgets(texts: DataFrame, targets: DataFrame, total: int | None = None) -> D
     in the texts has size 0; one missing in the targets contributes nothing. Of several target rows of a source the largest
     share and use hold. Null shares and uses count 0. One row per source: small, its aggregate is computed map-side first.
     """
-    per = texts.groupBy("source").agg(F.sum("tokens").alias("size"), F.sum(F.col("tokens") * F.col("copies")).alias("all_tokens"), F.avg("weight").alias("mean_weight"))
+    per = texts.groupBy("source").agg(F.sum("tokens").alias("size"), F.sum(F.col("tokens") * F.col("copies")).alias("all_tokens"), F.avg("weight").alias("mean_weight"), F.count(F.lit(1)).alias("n_texts"))
     if total is None:
         total = per.agg(F.coalesce(F.sum("all_tokens"), F.lit(0))).first()[0]
     goal = targets.groupBy("source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_uses", F.lit(0))).alias("max_uses"))
-    rows = goal.join(per.select(F.col("source").alias("_s"), "size", "mean_weight"), goal["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
+    rows = goal.join(per.select(F.col("source").alias("_s"), "size", "mean_weight", "n_texts"), goal["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
     size = F.coalesce("size", F.lit(0))
     wanted = F.round(F.col("target_share") * F.lit(total)).cast("long")
-    rows = rows.select("source", "target_share", "max_uses", size.alias("size"), F.coalesce("mean_weight", F.lit(1.0)).alias("mean_weight"), F.lit(total).cast("long").alias("total"), wanted.alias("wanted"))
+    rows = rows.select("source", "target_share", "max_uses", size.alias("size"), F.coalesce("mean_weight", F.lit(1.0)).alias("mean_weight"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.lit(total).cast("long").alias("total"), wanted.alias("wanted"))
     full = F.least(F.col("max_uses").cast("long"), F.when(F.col("size") > 0, F.expr("wanted div size")).otherwise(F.lit(0)))
     reach = F.col("size") * F.col("max_uses") >= F.col("wanted")
     rest = F.when(full < F.col("max_uses"), F.least(F.col("size"), F.col("wanted") - full * F.col("size"))).otherwise(F.lit(0))
@@ -77,7 +93,9 @@ def draw(texts: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str | None = None, weight: str | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """The drawn mix (see ``draw``) and its report per source: target and actual share, tokens, uses, whether the share is reached.
+    """The drawn mix (see ``draw``) and its report per source: target and actual share, tokens, uses, whether the share can be reached.
+
+    ``used_up`` says that the mix holds every text of the source as often as it may be used; with less ``drawn`` than ``wanted`` the source falls short.
 
     ``actual_share`` is of the tokens drawn in all, ``drawn_share`` of the mix that was asked for. Empty tables give an empty
     mix; the report then has all targets with nothing drawn. Sources that can't reach their share give all they may.
@@ -85,9 +103,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, t
     texts = cut(sized_texts(docs, tokenizer, weight))
     plan = cut(budgets(texts, targets, total))
     mix = draw(texts, plan, seed)
-    got = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("drawn"), F.max("uses").alias("most_uses"), F.count(F.lit(1)).alias("texts"))
-    rows = plan.join(got.withColumnRenamed("source", "_s"), plan["source"].eqNullSafe(F.col("_s")), "left").drop("_s").na.fill(0, ["drawn", "most_uses", "texts"])
+    got = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("drawn"), F.max("uses").alias("most_uses"), F.min("uses").alias("least_uses"), F.count(F.lit(1)).alias("texts"))
+    rows = plan.join(got.withColumnRenamed("source", "_s"), plan["source"].eqNullSafe(F.col("_s")), "left").drop("_s").na.fill(0, ["drawn", "most_uses", "least_uses", "texts"])
     whole = got.agg(F.sum("drawn").alias("_all")).withColumn("_one", F.lit(1))
     rows = rows.withColumn("_one", F.lit(1)).join(whole, "_one")
-    report = rows.select("source", "target_share", "max_uses", "size", "wanted", "drawn", "texts", "most_uses", "reached", (F.col("drawn") / F.nullif(F.col("_all"), F.lit(0))).alias("actual_share"), (F.col("drawn") / F.nullif(F.col("total"), F.lit(0))).alias("drawn_share"))
+    used_up = (F.col("max_uses") <= 0) | (F.col("n_texts") == 0) | ((F.col("texts") == F.col("n_texts")) & (F.col("least_uses") >= F.col("max_uses")))
+    report = rows.select("source", "target_share", "max_uses", "size", "wanted", "drawn", "texts", "most_uses", "reached", used_up.alias("used_up"), (F.col("drawn") / F.nullif(F.col("_all"), F.lit(0))).alias("actual_share"), (F.col("drawn") / F.nullif(F.col("total"), F.lit(0))).alias("drawn_share"))
     return mix, report

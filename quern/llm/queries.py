@@ -93,7 +93,15 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_report(spark, sf_dir).where(~F.col("reached") & (F.col("drawn") < F.col("wanted"))).select("source")
+    """The sources of which all texts are in the drawn mix as often as they may be, and that still fall short."""
+    return p9_report(spark, sf_dir).where(F.col("used_up") & (F.col("drawn") < F.col("wanted"))).select("source")
+
+
+def p9_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix asks of each source, sizes in words between blanks, which SQL can count too."""
+    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    texts = mix.sized_texts(load(spark, sf_dir, "documents"), size=words)
+    return mix.budgets(cut(texts), load(spark, sf_dir, "mix_targets")).drop("mean_weight")
 
 
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,13 @@ df AS (SELECT t, count(*) AS df FROM degrees GROUP BY t HAVING count(*) >= 2), n
 ranked AS (SELECT url, t AS term, score, (row_number() OVER (PARTITION BY url ORDER BY score DESC, t))::INT AS rank FROM (SELECT url, t, round(degree * ln(n / df), 6) AS score FROM degrees JOIN df USING (t), n))
 SELECT url, term, score, rank FROM ranked WHERE rank <= 3"""
 
+BUDGETS = """WITH texts AS (SELECT source, text, count(*) AS copies, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS n FROM documents WHERE text IS NOT NULL GROUP BY source, text),
+per AS (SELECT source, sum(n)::BIGINT AS size, count(*) AS n_texts FROM texts GROUP BY source), whole AS (SELECT sum(n * copies)::BIGINT AS total FROM texts),
+goal AS (SELECT source, max(target_share) AS target_share, max(max_uses) AS max_uses FROM mix_targets GROUP BY source),
+w AS (SELECT g.*, coalesce(size, 0) AS size, coalesce(n_texts, 0) AS n_texts, total, round(target_share * total)::BIGINT AS wanted FROM goal g LEFT JOIN per p ON p.source IS NOT DISTINCT FROM g.source, whole),
+e AS (SELECT *, least(max_uses, CASE WHEN size > 0 THEN wanted // size ELSE 0 END)::BIGINT AS epochs FROM w)
+SELECT *, (CASE WHEN epochs < max_uses THEN least(size, wanted - epochs * size) ELSE 0 END)::BIGINT AS rest, size * max_uses >= wanted AS reached FROM e"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -36,6 +43,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"{TERMS} SELECT term, mark FROM marks WHERE mark IS NOT NULL",
         "p8_leaks": LEAKS,
         "p8_found": f"SELECT doc_id, item_id FROM ({LEAKS})",
+        "p9_budgets": BUDGETS,
         "p7_found": f"{TOP} SELECT recipe_url, page_id FROM ranked WHERE rank <= 3",
         "p7_ranked": f"{TOP} SELECT recipe_url, page_id, match_score, rank FROM ranked WHERE rank <= 3",
     }
