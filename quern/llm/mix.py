@@ -19,15 +19,15 @@ def quality(text: Column) -> Column:
     """Weight of a text in sampling, in [0.05, 1]: the geometric mean of what speaks for running prose.
 
     Share of letters and blanks among its characters; distinct words against the number that a text of its length has by Heaps' law (at the
-    square root, times 3); distinct lines among those that aren't blank; words of 2 to 15 characters among all; and its length, up to 100 words. All in expressions.
+    square root, times 3); distinct lines among all; words of 15 characters or less among all; and its length, up to 100 words. All in expressions that
+    are compiled, without functions over elements.
     """
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    lines = F.filter(F.transform(F.split(text, r"[\r\n]+"), F.trim), lambda x: x != "")
+    words, lines = F.split(text, r"\s+"), F.split(text, r"[\r\n]+")
     n = F.size(words).cast("double")
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}\s]", "")) / F.nullif(F.length(text), F.lit(0))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", "")) / F.nullif(F.length(text), F.lit(0))
     varied = F.least(F.lit(1.0), F.size(F.array_distinct(words)) / F.least(n, 3 * F.sqrt(n)))
-    fresh = F.size(F.array_distinct(lines)) / F.nullif(F.size(lines), F.lit(0))
-    usual = F.size(F.filter(words, lambda w: (F.length(w) >= 2) & (F.length(w) <= 15))) / F.nullif(n, F.lit(0.0))
+    fresh = F.size(F.array_distinct(lines)) / F.size(lines)
+    usual = F.greatest(F.lit(0.0), 1 - F.regexp_count(text, F.lit(r"\S{16,}")) / n)
     whole = F.pow(letters * varied * fresh * usual * F.least(F.lit(1.0), n / FULL_WORDS), F.lit(0.2))
     return F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(whole, F.lit(LEAST_WEIGHT)))
 

@@ -49,19 +49,31 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_terms(spark, sf_dir).where("mark IS NOT NULL").select("term", "mark")
 
 
-def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recipes with their page: a row for each url and page, whichever tables name it, first."""
+def dishes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Recipes, and pages with a row for each of their titles, whichever table names them."""
     recipes = load(spark, sf_dir, "recipes").where("url IS NOT NULL")
     left = recipes.groupBy("url").agg(F.max("title").alias("title"), F.max("ingredients").alias("foods"), F.max("description").alias("text")).withColumnRenamed("url", "id")
     dump = load(spark, sf_dir, "dump_index").select("page_id", "wiki_title", "wiki_ingredients", "wiki_origin")
     other = load(spark, sf_dir, "wiki_recipes").select("page_id", "wiki_title").distinct()
     pages = dump.unionByName(other, allowMissingColumns=True).where("page_id IS NOT NULL")
-    right = pages.groupBy("page_id").agg(F.max("wiki_title").alias("title"), F.max("wiki_ingredients").alias("foods"), F.max("wiki_origin").alias("text"))
-    right = right.select(F.col("page_id").cast("string").alias("id"), "title", "foods", "text")
-    found = match.match(cut(left), cut(right))
+    spelled = F.trim(F.lower(F.translate("wiki_title", "_", " ")))
+    right = pages.groupBy("page_id").agg(F.collect_set(spelled).alias("titles"), F.max("wiki_ingredients").alias("foods"), F.max(F.nullif(F.trim("wiki_origin"), F.lit(""))).alias("text"))
+    right = right.select(F.col("page_id").cast("string").alias("id"), F.explode_outer("titles").alias("title"), "foods", "text")
+    return cut(left), cut(right)
+
+
+def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes with their page."""
+    found = match.match(*dishes(spark, sf_dir))
     return found.select(F.col("left_id").alias("url"), F.col("right_id").cast("long").alias("page_id"), F.round("confidence", 6).alias("confidence"))
 
 
+def p6_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes and pages one to one, of the greatest confidence in all."""
+    chosen = match.one_to_one(match.candidates(*dishes(spark, sf_dir)))
+    return chosen.select(F.col("left_id").alias("url"), F.col("right_id").cast("long").alias("page_id"), F.round("score", 6).alias("score"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_matches(spark, sf_dir).select("url", "page_id")
 
@@ -114,4 +126,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit()}
+    return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
