@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import clean_text, col
 
-# How the pages mark their fields. ALT is the text of the placeholder images, a parameter of the site.
+# How the pages mark their fields. ALT is the text of the placeholder images and CREDIT what follows "From" in the line of credits:
+# parameters of the site, patterns; as they stand any image and any such line will do.
 ALT = r"[^\]\n]*"
+CREDIT = ""
 STOP = r"(?=\n{{2,}}|^## |!\[{alt}\]\(|Featured In:)"
 DESCRIPTION = (
     r"\[Rate\]\(#vote\).*?(?:\n\s*\* !\[{alt}\][^\n]*)+\s*\n\s*(.*?)" + STOP,
@@ -22,7 +24,7 @@ DESCRIPTION = (
 )
 INGREDIENTS = r"(?is)## Ingredients\s*\n(.*?)(?=\n## |\n\nRead More|$)"
 INGREDIENT = r"\* \[ \] (.+?)(?=\n|$)"
-METHOD = r"(?is)## Method\s*\n(.*?)(?=\n\*Copyright|\n\*From |\nRead More\s*\n\s*Rate this recipe|## Related Recipes)"
+METHOD = r"(?is)## Method\s*\n(.*?)(?=\n\*Copyright|\n\*From {credit}|\nRead More\s*\n\s*Rate this recipe|## Related Recipes)"
 AUTHOR = r"(?s)\[!\[\]\(\)\s*\n([^)\[]+)\]\(https?://[^)/]+/chefs/[^)]*\"Go to Author\"\)"
 PREP_TIME = r"(?i)!\[{alt}\]\(/images/time-icon\.svg\)((?:\d+\s+HRS?)?\s*\d+\s+(?:MINS?|HRS?))"
 SERVINGS = r"!\[{alt}\]\(/images/serves-icon\.svg\)(\d+)"
@@ -39,7 +41,10 @@ def md_title(c: Column | str) -> Column:
 
 
 def md_description(c: Column | str, alt: str = ALT) -> Column:
-    """The text under the rating link, by the first of three layouts that is there; images go, links keep their text."""
+    """The text under the rating link, by the first of three layouts that is there; images go, links keep their text.
+
+    It ends at a placeholder image, whose text is ``alt``; unless a site's text is given, at any image.
+    """
     out = F.lit("")
     for p in reversed(DESCRIPTION):
         pattern = "(?sm)" + p.format(alt=alt)
@@ -54,8 +59,12 @@ def md_ingredients(c: Column | str) -> Column:
     return F.filter(F.transform(found, clean_text), lambda x: ~x.endswith(":"))
 
 
-def md_method(c: Column | str) -> Column:
-    return clean_text(F.regexp_replace(F.trim(_group(c, METHOD)), r"(?i)\s*Read More\s*$", ""))
+def md_method(c: Column | str, credit: str = CREDIT) -> Column:
+    """The text under the heading, up to the copyright or the line of credits, the rating or related pages.
+
+    A line of credits is ``*From`` and ``credit``; unless a site's name is given, any such line ends the method.
+    """
+    return clean_text(F.regexp_replace(F.trim(_group(c, METHOD.format(credit=credit))), r"(?i)\s*Read More\s*$", ""))
 
 
 def md_author(c: Column | str) -> Column:

@@ -10,11 +10,11 @@ from quern.functions import markdown as md
 RECORD = ("url", "html_file", "title", "description", "ingredients", "method", "chef", "difficulty", "prep_time", "servings")
 
 
-def records_from_markdown(df: DataFrame, text: str = "markdown", alt: str = md.ALT) -> DataFrame:
+def records_from_markdown(df: DataFrame, text: str = "markdown", alt: str = md.ALT, credit: str = md.CREDIT) -> DataFrame:
     """``RECORD`` columns of a frame (url, html_file?, markdown); pages that are the list of recipes are left out."""
     c = F.col(text)
     fields = {
-        "title": md.md_title(c), "description": md.md_description(c, alt), "ingredients": md.md_ingredients(c), "method": md.md_method(c),
+        "title": md.md_title(c), "description": md.md_description(c, alt), "ingredients": md.md_ingredients(c), "method": md.md_method(c, credit),
         "chef": md.md_author(c), "difficulty": md.md_difficulty(c, alt), "prep_time": md.md_prep_time(c, alt), "servings": md.md_servings(c, alt),
     }
     file = F.col("html_file") if "html_file" in df.columns else F.lit(None).cast("string")
@@ -22,10 +22,10 @@ def records_from_markdown(df: DataFrame, text: str = "markdown", alt: str = md.A
     return rows.where(F.trim("title") != "Recipes").select(*RECORD)
 
 
-def extract(pages: DataFrame, alt: str = md.ALT) -> DataFrame:
+def extract(pages: DataFrame, alt: str = md.ALT, credit: str = md.CREDIT) -> DataFrame:
     """Records of pages (url, html_file?, html). One Arrow step turns HTML to Markdown, the fields are expressions."""
     keep = [c for c in ("url", "html_file") if c in pages.columns]
-    return records_from_markdown(pages.select(*keep, md.html_to_markdown("html").alias("markdown")), alt=alt)
+    return records_from_markdown(pages.select(*keep, md.html_to_markdown("html").alias("markdown")), alt=alt, credit=credit)
 
 
 def extraction_counts(pages: DataFrame, records: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def test_wiki(spark):
 
 
 def test_every_pattern_compiles(spark):
-    patterns = [md.INGREDIENTS, md.METHOD, md.AUTHOR, md.PREP_TIME.format(alt=md.ALT), md.SERVINGS.format(alt=md.ALT), md.DIFFICULTY.format(alt=md.ALT), *("(?sm)" + p.format(alt=md.ALT) for p in md.DESCRIPTION), W.SECTION, W.ABSTRACT, *(p for p, _ in W.STEPS), U.HREF]
+    patterns = [md.INGREDIENTS, md.METHOD.format(credit=md.CREDIT), md.AUTHOR, md.PREP_TIME.format(alt=md.ALT), md.SERVINGS.format(alt=md.ALT), md.DIFFICULTY.format(alt=md.ALT), *("(?sm)" + p.format(alt=md.ALT) for p in md.DESCRIPTION), W.SECTION, W.ABSTRACT, *(p for p, _ in W.STEPS), U.HREF]
     for p in patterns:
         one(spark, "text", lambda c, p=p: F.regexp_like(c, F.lit(p)))
 
@@ -155,3 +155,9 @@ def test_token_counts_are_those_of_the_tokenizer(text):
 def test_token_count_column(spark):
     rows = spark.createDataFrame([("Two words",), ("",), (None,)], "t string").select(K.token_count("t").alias("n")).collect()
     assert [r["n"] for r in rows] == [K.count_text("Two words", K.default_path()), 0, 0]
+
+
+def test_a_site_names_its_credit_line(spark):
+    text = "## Method\nMix.\n*From the oven, rest.\nServe.\n*From Our Site\n## Related Recipes"
+    row = spark.createDataFrame([(text,)], "t string").select(md.md_method("t").alias("any"), md.md_method("t", "Our Site").alias("own")).first()
+    assert row["any"] == "Mix." and row["own"] == "Mix. *From the oven, rest. Serve."

@@ -351,3 +351,19 @@ def test_stream_keeps_the_last_version(spark, tmp_path):
     records, postings = incremental.current(spark, out)
     assert [r["title"] for r in records.collect()] == ["goose pie"]
     assert sorted(r["term"] for r in postings.collect()) == ["goose", "pie"]
+
+
+def test_windows_count_fetches_and_drop_what_is_too_late(spark, tmp_path):
+    from datetime import datetime
+
+    src = str(tmp_path / "in")
+    make = lambda rows_: spark.createDataFrame([(u, None, "x", datetime(2022, 1, d, h, m)) for u, d, h, m in rows_], incremental.PAGES)
+    make([("https://a.example/1", 1, 9, 5), ("https://a.example/2", 1, 9, 50), ("https://b.example/1", 1, 9, 10), (None, 1, 10, 0)]).coalesce(1).write.mode("append").parquet(src)
+    run = lambda: incremental.windowed_fetches(incremental.page_stream(spark, src), late="1 hour").writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    run()
+    make([("https://a.example/3", 2, 9, 0)]).coalesce(1).write.mode("append").parquet(src)  # a day on: the windows before are closed
+    run()
+    make([("https://a.example/4", 1, 9, 30)]).coalesce(1).write.mode("append").parquet(src)  # too late
+    run()
+    got = {(r["start"].day, r["start"].hour, r["host"]): r["pages"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 9, "a.example"): 2, (1, 9, "b.example"): 1, (1, 10, ""): 1}
