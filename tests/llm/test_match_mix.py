@@ -126,15 +126,15 @@ def test_no_pair_over_the_bound_is_left_out():
     model = match.Model(kinds={"soup": 2.0, "pie": 2.0}, words={"big": (1.0, -0.5, -0.5)}, names={"kalo": 1.0})
     pick = lambda of, n: rng.sample(of, rng.randrange(n + 1))
 
-    def side():
+    def side(left):
         out = []
         for k in range(60):
             p = match.Parts(pick([f"item{x}" for x in range(9)], 8), pick(["kalo", "kalomi", "klaomi", "zu"], 3), pick(["soup", "pie", "big"], 2), pick(["item1", "item2", "x", "y"], 3), pick(["p", "q"], 1), pick(["p", "q", "z"], 2))
             codes = [match.code(x) for x in p.items]
-            out.append((str(k), match.bits(p, codes, model), codes, p.names, p.popular, p.rest, p.places, p.title))
+            out.append((str(k), match.bits(p, codes, model, left), codes, p.names, p.popular, p.rest, p.places, p.title))
         return match.Side(pd.DataFrame(out, columns=["id", "bits", *match.FIELDS]))
 
-    l, r = side(), side()
+    l, r = side(True), side(False)
     a = np.arange(60)
     high = match.bounds(l, r, a, np.tile(a, (60, 1)), 5.0, model)
     assert all(match.score(l[i], r[j], 5.0, model) <= high[i, j] + 1e-9 for i in range(60) for j in range(60))
