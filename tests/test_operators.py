@@ -257,7 +257,7 @@ def test_pipeline_end_to_end(spark, tmp_path):
     (html / "h.example_recipes.html").write_text("<html><body><h1>Recipes</h1></body></html>")
     (tmp_path / "idx").write_text("0:1:Duck soup\n")
     (tmp_path / "dump").write_bytes(bz2.compress(b"<page><title>Duck soup</title><id>1</id><text>x\n== A ==\nHot.\n== B ==</text></page>"))
-    p = pipeline.Paths(str(html), str(tmp_path / "rec"), str(tmp_path / "index"), str(tmp_path / "links"), str(tmp_path / "idx"), str(tmp_path / "dump"), str(tmp_path / "out.jsonl"))
+    p = pipeline.Paths(str(html), str(tmp_path / "rec"), str(tmp_path / "index"), str(tmp_path / "links"), str(tmp_path / "idx"), str(tmp_path / "dump"), str(tmp_path / "out.jsonl"), str(tmp_path / "fields"))
     out = pipeline.run_all(spark, p).collect()
     assert [(r["recipe_url"], r["wiki_description"]) for r in out] == [("https://h.example/recipes/duck", "Hot.")]
     assert json.loads(open(p.export).read())["wiki_title"] == "Duck soup"
