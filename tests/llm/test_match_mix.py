@@ -121,6 +121,31 @@ def test_weights_kinds_and_spellings_are_learned(spark):
     assert sum(got.get(k) == v for k, v in truth.items()) >= 0.95 * len(truth) and sum(truth[k] == v for k, v in got.items()) >= 0.98 * len(got)
 
 
+def test_weights_hold_where_many_records_share_items_in_a_row(spark):
+    rng = random.Random(3)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    word = lambda k: "".join(rng.choice(syllables) for _ in range(k))
+    items, kinds, towns = [word(3) for _ in range(12)], [word(2) + "q" for _ in range(6)], [word(4) for _ in range(8)]
+    left, right, truth = [], [], {}
+    for k in range(1200):
+        own, kind, town = rng.sample(items, 7), rng.choice(kinds), rng.choice(towns)
+        title = f"{word(4)} {kind}" if k % 2 else f"{own[0]} {own[1]} {kind}"
+        right.append((str(k), title, own, town.title()))
+        if k % 4 < 2:
+            left.append((f"r{k}", f"Easy {title}", [f"{rng.randrange(1, 9)}00 g {x}" for x in own if rng.random() < 0.9], f"People of {town} do."))
+            truth[f"r{k}"] = str(k)
+        else:
+            left.append((f"r{k}", f"Easy {word(4)} {kind}", [f"{rng.randrange(1, 9)}00 g {x}" for x in rng.sample(items, 7)], None))
+    l, r = spark.createDataFrame(left, RECORD), spark.createDataFrame(right, RECORD)
+    rf = match.features(r, False)
+    places = match.place_words(rf)
+    assert match.run_length(rf, 1200) > match.RUN and match.run_length(rf.limit(20), 20) == match.RUN
+    model = match.learn(match.features(l, True, spark.sparkContext.broadcast(places)), rf, places)
+    assert set(model.kinds) == set(kinds) and model.place[0] > 1.5 and model.place[1] < -2
+    got = {x["left_id"]: x["right_id"] for x in match.match(l, r).collect()}
+    assert sum(got.get(k) == v for k, v in truth.items()) >= 0.75 * len(truth) and sum(truth.get(k) == v for k, v in got.items()) >= 0.98 * len(got)
+
+
 def test_no_pair_over_the_bound_is_left_out():
     rng = random.Random(5)
     model = match.Model(kinds={"soup": 2.0, "pie": 2.0}, words={"big": (1.0, -0.5, -0.5)}, names={"kalo": 1.0})
