@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quern.config import MIN_ABSTRACT, SIMILARITY
 from quern.functions.text import clean_title, title_tokens
 from quern.functions.wiki import wiki_abstract, wiki_section, wiki_url
 from quern.operators.index import latest
-from quern.operators.joins import grid_join
+from quern.operators.joins import grid, grid_join
+from quern.operators.titles import similar
+from quern.session import cut
 from quern.sources.dump import block_pages, first_pages, read_offsets
 
+AT_ONCE = 20_000_000  # candidates of a task, about; fewer where that leaves cores idle
+
 
 def prepare_titles(df: DataFrame, title: str, order: str = "reference") -> DataFrame:
     """``df`` with ``cleaned_title`` and ``filtered_tokens``; all other columns stay, so nothing is joined back to them."""
@@ -53,6 +58,38 @@ def scored_pairs(pairs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     return scored.withColumn("similarity", similarity(F.col("_d"), F.col("left_title"), F.col("right_title"))).where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
 
 
+def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: float = SIMILARITY, best: bool = False) -> DataFrame:
+    """(left_id, right_id, similarity) of pairs that share a token and whose similarity is at least ``threshold``: what ``scored_pairs`` gives of ``candidate_pairs``.
+
+    Candidates grow with the product of both sides, so they are never rows: the titles of a token meet in cells of a grid, where edit distances are
+    worked out in arrays. With ``best`` each left title's most similar right ones are among what is given, of the others only some; a pair may come several times.
+    """
+    sides = []
+    for df, key in ((left, left_key), (right, right_key)):
+        rows = cut(df.where(F.size("filtered_tokens") > 0).select(F.col(key).alias("_k"), "cleaned_title", "filtered_tokens"))
+        lesser = F.array().cast("array<string>") if best else F.filter("_t", lambda t: t < F.col("token"))
+        sides.append(exploded(rows, "_k").select("token", F.col("_c").alias("title"), lesser.alias("lesser"), "_k"))
+    counts = [df.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias(c)) for df, c in zip(sides, "lr")]
+    n = counts[0].join(counts[1], "token").agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0.0
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, int(n // AT_ONCE), min(3 * cores, int(n // (AT_ONCE / 20))))
+    kinds = [df.schema["_k"].dataType for df in sides]
+    a, b = grid(*sides, "token")
+    names = ["token", "_lc", "_rc", "side", "title", "lesser", "left_id", "right_id"]
+    a = a.select("*", F.lit(1).alias("side"), F.col("_k").alias("left_id"), F.lit(None).cast(kinds[1]).alias("right_id"))
+    b = b.select("*", F.lit(0).alias("side"), F.lit(None).cast(kinds[0]).alias("left_id"), F.col("_k").alias("right_id"))
+    rows = a.select(*names).unionByName(b.select(*names)).repartition(parts, "token", "_lc", "_rc").sortWithinPartitions(*names[:5])
+    return rows.mapInArrow(similar(threshold, best), StructType([StructField("left_id", kinds[0]), StructField("right_id", kinds[1]), StructField("similarity", DoubleType())]))
+
+
+def best_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: float = SIMILARITY) -> DataFrame:
+    """(left_id, right_id, similarity): the best right side of each left one that has any, as ``best_pairs``. Equal titles are compared once."""
+    titles = left.groupBy("cleaned_title").agg(F.any_value("filtered_tokens").alias("filtered_tokens"))
+    rights = right.groupBy("cleaned_title").agg(F.min(right_key).alias(right_key), F.any_value("filtered_tokens").alias("filtered_tokens"))
+    best = best_pairs(similar_pairs(titles, rights, "cleaned_title", right_key, threshold, best=True)).withColumnRenamed("left_id", "cleaned_title")
+    return best_pairs(left.select(F.col(left_key).alias("left_id"), "cleaned_title").join(best, "cleaned_title").select("left_id", "right_id", "similarity"))
+
+
 def best_pairs(scored: DataFrame) -> DataFrame:
     """The best right side of each left one, ties to the lower id: an aggregate, combined map-side."""
     best = scored.groupBy("left_id").agg(F.min_by("right_id", F.struct(-F.col("similarity"), "right_id")).alias("right_id"), F.max("similarity").alias("similarity"))
@@ -69,7 +106,7 @@ def link(recipes: DataFrame, pages: DataFrame, threshold: float = SIMILARITY, or
     titles = pages.where("page_id IS NOT NULL AND wiki_title IS NOT NULL").groupBy("page_id").agg(F.min("wiki_title").alias("wiki_title"), F.min("wiki_offset").alias("wiki_offset"))
     left = prepare_titles(recipes.select("url", "title"), "title", order)
     right = prepare_titles(titles.select("page_id", "wiki_title"), "wiki_title", order)
-    best = best_pairs(scored_pairs(candidate_pairs(left, right, "url", "page_id"), threshold))
+    best = best_matches(left, right, "url", "page_id", threshold)
     found = best.join(titles, F.col("right_id") == F.col("page_id")).select(F.col("left_id").alias("url"), "page_id", "wiki_title", wiki_url("wiki_title", base).alias("wiki_url"), "wiki_offset", "similarity")
     out = recipes.join(found, "url", "left" if keep_all else "inner")
     rest = [c for c in recipes.columns if c not in ("url", "title")]
