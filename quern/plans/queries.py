@@ -111,7 +111,7 @@ def link_candidates_count(spark: SparkSession, d: str) -> DataFrame:
 
 def link_scored(spark: SparkSession, d: str) -> DataFrame:
     left, right = _titles(spark, d)
-    rows = link.scored_pairs(link.candidate_pairs(left, right, "url", "page_id"))
+    rows = link.similar_pairs(left, right, "url", "page_id")
     return rows.select(F.col("left_id").alias("url"), F.col("right_id").alias("page_id"), F.round("similarity", 6).alias("similarity"))
 
 

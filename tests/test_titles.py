@@ -39,7 +39,7 @@ def test_pairs_in_arrays_equal_candidate_rows(spark, monkeypatch, few):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["link_all_left", "link_best"])
+@pytest.mark.parametrize("name", ["link_all_left", "link_best", "link_scored"])
 def test_candidates_of_linking_are_no_rows(spark, name):
     plan = queries.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" not in plan and "right_title" not in plan
